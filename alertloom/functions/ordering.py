@@ -49,8 +49,8 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, str]) -> DataFr
 
     ``ranks`` maps a result name to SQL text over ``n`` giving the position.
     """
-    counted = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x"))
-               .agg(F.count("*").alias("c")))
+    counted = (df.groupBy(F.col(value).cast("double").alias("x"))
+               .agg(F.count(value).alias("c")).where("c > 0"))  # no rows for NULL
     n = F.col("n")
     return (
         running_totals(counted, "x", ["c"])

@@ -43,7 +43,8 @@ def feature_lines(docs: DataFrame, shown: int = SHOWN_FEATURES) -> DataFrame:
             "t -> named_struct('o', -abs(t.impact), 'feature', t.feature, "
             "'value', coalesce(t.value, 0.0D), 'impact', t.impact))")
     return (
-        docs.selectExpr("doc_id", f"posexplode(slice(array_sort({kept}), 1, {shown})) AS (p, t)")
+        docs.selectExpr("doc_id", f"posexplode_outer(slice(array_sort({kept}), 1, {shown})) AS (p, t)")
+        .where("p IS NOT NULL")
         .selectExpr(
             "doc_id", "cast(p + 1 AS BIGINT) AS row", "t.feature AS feature", "t.value AS value",
             "t.impact AS impact",
@@ -68,8 +69,9 @@ def summary_rows(docs: DataFrame) -> DataFrame:
     items = ", ".join(f"named_struct('label', '{label}', 'val', cast({field} AS STRING))"
                       for label, field in SUMMARY)
     return (
-        docs.selectExpr("doc_id", f"posexplode(filter(array({items}), "
+        docs.selectExpr("doc_id", f"posexplode_outer(filter(array({items}), "
                                   "t -> coalesce(t.val, '') NOT IN ('', '—'))) AS (p, t)")
+        .where("p IS NOT NULL")
         .selectExpr("doc_id", "cast(p + 1 AS BIGINT) AS rownum", "t.label AS label",
                     "t.val AS val")
     )
@@ -105,7 +107,8 @@ def raw_lines(docs: DataFrame) -> DataFrame:
     ] + [f"substring(coalesce(alert.full_log, ''), {n * LOG_PIECE + 1}, {LOG_PIECE})"
          for n in range(LOG_PIECES)]
     return (
-        docs.selectExpr("doc_id", f"posexplode(filter(array({', '.join(lines)}), "
+        docs.selectExpr("doc_id", f"posexplode_outer(filter(array({', '.join(lines)}), "
                                   "l -> l <> '')) AS (p, line)")
+        .where("p IS NOT NULL")
         .selectExpr("doc_id", "cast(p + 1 AS BIGINT) AS row", "line")
     )

@@ -92,8 +92,12 @@ def findings_documents(df: DataFrame, names: list[str], score: str = "score") ->
 
 
 def valid_attributions(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per top feature, without entries that lack a feature or an impact."""
-    return (docs.selectExpr(*keep, "explode(top_features) AS t")
+    """One row per top feature, without entries that lack a feature or an impact.
+
+    The outer explode keeps Spark from inferring a filter on the array, which would be pushed down
+    and copy the whole chain of expressions behind it once more.
+    """
+    return (docs.selectExpr(*keep, "explode_outer(top_features) AS t")
             .where("t.feature IS NOT NULL AND t.impact IS NOT NULL")
             .selectExpr(*keep, "t.feature AS feature", "coalesce(t.value, 0.0D) AS value",
                         "t.impact AS impact"))

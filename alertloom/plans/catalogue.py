@@ -87,7 +87,7 @@ def compact_vector(spark, sf):
 def nonzero_features(spark, sf):
     from alertloom.operators.features import nonzero_map_sql
     return feature_vector(spark, sf).selectExpr(
-        "doc_id", f"explode({nonzero_map_sql(NAMES)}) AS (feature, value)")
+        "doc_id", f"explode_outer({nonzero_map_sql(NAMES)}) AS (feature, value)").where("feature IS NOT NULL")
 
 
 def min_level_keyword(spark, sf):
@@ -293,9 +293,9 @@ def worst_ten(spark, sf):
 
 def _judged(spark, sf) -> DataFrame:
     """Stand-in scores against labels taken from the event type."""
-    flat = fixtures.flat_alerts(spark, sf).select("id", "t")
-    truth = flat.selectExpr("id AS doc_id",
-                            "CASE WHEN t IN ('error', 'purchase') THEN 1L ELSE 0L END AS label")
+    truth = fixtures.events_table(spark, sf).selectExpr(
+        "cast(event_id AS STRING) AS doc_id",
+        "CASE WHEN event_type IN ('error', 'purchase') THEN 1L ELSE 0L END AS label")
     return weak_score(spark, sf).withColumnRenamed("weak_score", "score").join(truth, "doc_id")
 
 

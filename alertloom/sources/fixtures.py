@@ -4,10 +4,13 @@ The test tables hold no alerts, so every event becomes one alert by fixed formul
 is one SQL text that Spark and DuckDB both run; the nested form is what a parsed alert looks like.
 """
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.schema import DATA, WIN_EVENT
-from alertloom.session import spread, tune
+from alertloom.session import shared_dir, spread, tune
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, one alert per second from there
 
@@ -159,8 +162,21 @@ def nested_alerts(flat: DataFrame) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_alerts(flat_alerts(spark, sf_dir))
+    """The typed alert table, written once per application and read from there.
+
+    Alerts are a stored table in real use. Deriving them anew in every plan would also put the
+    derivation formulas into every filter that Spark pushes down.
+    """
+    tune(spark)
+    name = re.sub(r"[^A-Za-z0-9]+", "-", os.path.abspath(sf_dir))
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/alerts{name}"
+    if path not in _WRITTEN:
+        nested_alerts(flat_alerts(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
 
+_WRITTEN: set[str] = set()
 
 # Report records, also as shared SQL over ``numbered`` events.
 FEEDBACK_SQL = """
