@@ -13,7 +13,7 @@ from alertloom.operators import (
 from alertloom.operators.canonical import canonicalize
 from alertloom.operators.explain import findings_documents, rank_features, valid_attributions
 from alertloom.operators.features import feature_names, project_features
-from alertloom.plans import pipeline
+from alertloom.plans import pipeline, training
 from alertloom.schema import DERIVED_FIELDS
 from alertloom.sources import fixtures, scans
 from alertloom.sources.config import default_feature_map, default_policy
@@ -351,6 +351,115 @@ def random_pick(spark, sf):
     return sampling.random_k(fixtures.alerts(spark, sf).select("doc_id"), 100)
 
 
+_TRAINED: dict[tuple[str, str], training.Trained] = {}
+
+
+def trained(spark: SparkSession, sf: str) -> training.Trained:
+    """The model of a table set, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train(fixtures.alerts(spark, sf), FMAP)
+    return _TRAINED[key]
+
+
+def model_split(spark, sf):
+    return trained(spark, sf).parts.groupBy("label", "part").agg(F.count("*").alias("n"))
+
+
+def _features(spark, sf) -> DataFrame:
+    return project_features(_canon(spark, sf), FMAP)
+
+
+def forest_score(spark, sf):
+    return trained(spark, sf).model.score(_features(spark, sf)).select(
+        "doc_id", "raw_score", "score")
+
+
+def _explained(method: str):
+    def query(spark, sf):
+        docs = training.explain(fixtures.alerts(spark, sf), trained(spark, sf), POLICY, FMAP, method)
+        return docs.select("doc_id", "predicted_score", "predicted_label", "tag", "reason",
+                           F.to_json("top_features").alias("top_features"))
+    return query
+
+
+def attribution_additivity(spark, sf):
+    """Largest gap between the forest score and base value plus attributions."""
+    run = trained(spark, sf)
+    rows = run.attributed(run.model.score(_features(spark, sf)))
+    gap = f"abs(aggregate(phi, 0D, (s, x) -> s + x) + {run.leaves.expected()!r}D - raw_score)"
+    return rows.agg(F.count("*").alias("n"), (F.max(F.expr(gap)) < 1e-9).alias("additive"))
+
+
+def prototypes(spark, sf):
+    return trained(spark, sf).prototypes()
+
+
+def model_evaluation(spark, sf):
+    precision, cut, _ = trained(spark, sf).evaluation()
+    return precision.withColumn("cut", cut.select("cut").scalar())
+
+
+def model_class_report(spark, sf):
+    return trained(spark, sf).evaluation()[2]
+
+
+def stream_equals_batch(spark, sf):
+    """Streams the alert table into the explanation store and counts documents equal to batch."""
+    import uuid
+
+    from alertloom.session import shared_dir
+    from alertloom.streaming.ingest import score_stream
+    alerts = fixtures.alerts(spark, sf)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(alerts.schema).parquet(fixtures.alerts_path(spark, sf))
+    query = score_stream(source, _stand_in_documents, f"{path}/out", f"{path}/checkpoint",
+                         min_level=0)
+    query.awaitTermination()
+    streamed = spark.read.parquet(f"{path}/out/explanations")
+    key = ["doc_id", "predicted_score", "predicted_label", "tag", "reason", "recommendation"]
+    batch = _stand_in_documents(alerts).select(*key)
+    joined = batch.join(streamed.select(*key, F.lit(1).alias("hit")), key, "left")
+    return joined.agg(F.count("*").alias("n"), F.count("hit").alias("equal"))
+
+
+def _stand_in_documents(alerts: DataFrame) -> DataFrame:
+    scored = weaklabel.weak_score(alerts).withColumn("score", F.col("weak_score"))
+    return pipeline.explain_with(_decided(scored), POLICY, FMAP)
+
+
+def parsed_alerts(spark, sf):
+    """The raw JSON text through the parser, summarised by what comes out."""
+    from alertloom.sources.files import parse_alerts, usable
+    text = fixtures.alerts(spark, sf).select(F.col("raw").alias("value"))
+    return (usable(parse_alerts(text))
+            .groupBy(F.col("decoder.name").alias("decoder"),
+                     F.array_join("rule.groups", ",").alias("rule_groups"))
+            .agg(F.count("*").alias("n"), F.sum(F.col("rule.level").cast("bigint")).alias("levels"),
+                 F.count("data.srcip").alias("with_srcip"),
+                 F.count_if("has_win_event").alias("with_event")))
+
+
+def enriched_features(spark, sf):
+    """Features with DNS, RDP, private address, hour and rolling columns filled."""
+    rows = pipeline.feature_rows(fixtures.alerts(spark, sf), FMAP, enrich=True)
+    return rows.select("doc_id", "service_dns", "logon_type_rdp", "src_private", "dst_private",
+                       "hour", "auth_fail_5m", "auth_fail_1h", "conn_count_5m")
+
+
+def provenance_join(spark, sf):
+    """Documents back to the raw alerts they were made from, by index and document id."""
+    raw = fixtures.alerts(spark, sf).selectExpr(
+        "cast(event_ts AS DATE) AS day", "doc_id AS _os_doc_id", "raw"
+    ).selectExpr("concat('alerts-', day) AS _os_index", "_os_doc_id", "length(raw) AS size")
+    docs = weaklabel.weak_score(fixtures.alerts(spark, sf)).selectExpr(
+        "concat('alerts-', cast(event_ts AS DATE)) AS _os_index", "doc_id AS _os_doc_id",
+        "weak_points")
+    return feedback.join_provenance(docs, raw).groupBy("_os_index").agg(
+        F.count("*").alias("n"), F.sum("weak_points").alias("points"),
+        F.sum("size").cast("bigint").alias("raw_chars"))
+
+
 QUERIES = {
     "source_detect": source_detect,
     "policy_source": policy_source,
@@ -406,4 +515,17 @@ QUERIES = {
     "resample": resampled,
     "shuffle": shuffled,
     "random_pick": random_pick,
+    "parsed_alerts": parsed_alerts,
+    "enriched_features": enriched_features,
+    "provenance_join": provenance_join,
+    "stream_equals_batch": stream_equals_batch,
+    "model_split": model_split,
+    "forest_score": forest_score,
+    "tree_attribution": _explained("tree"),
+    "background_attribution": _explained("background"),
+    "importance_fallback": _explained("importances"),
+    "attribution_additivity": attribution_additivity,
+    "prototypes": prototypes,
+    "model_evaluation": model_evaluation,
+    "model_class_report": model_class_report,
 }

@@ -596,12 +596,7 @@ def oracle() -> dict[str, str]:
             "FROM weak", "weak"),
         "class_report": _sql(_REPORT, "weak"),
         "rolling_counters": _sql(
-            "SELECT id AS doc_id, " + ", ".join(
-                f"CASE WHEN coalesce(src_ip, '') = '' THEN 0 ELSE CAST({agg} OVER (PARTITION BY src_ip ORDER BY ts_s "
-                f"RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) AS BIGINT) END AS {name}"
-                for name, agg, seconds in (("auth_fail_5m", "sum(auth_result_neg)", 300),
-                                           ("auth_fail_1h", "sum(auth_result_neg)", 3600),
-                                           ("conn_count_5m", "count(*)", 300)))
+            "SELECT id AS doc_id, " + _ROLLING.format(type="BIGINT")
             + " FROM directed", "directed"),
         "tumbling_volume": _sql("SELECT CAST(ts_s - ts_s % 600 AS BIGINT) AS window_start, count(*) AS n "
                                 "FROM alerts GROUP BY 1", ""),
@@ -610,10 +605,37 @@ def oracle() -> dict[str, str]:
         "log_templates": _sql(
             f", {_MASKED} {_MERGED} SELECT substr(md5(template), 1, 16) AS template_id, template, "
             "CAST(sum(n) AS BIGINT) AS n, count(*) AS variants FROM merged GROUP BY template", ""),
+        "parsed_alerts": _sql(
+            "SELECT decoder, rule_groups, count(*) AS n, CAST(sum(rule_level) AS BIGINT) AS levels, "
+            "count(srcip) AS with_srcip, count(win_code) AS with_event FROM alerts GROUP BY ALL", ""),
+        "enriched_features": _sql(
+            "SELECT id AS doc_id, CAST(service_label = 'DNS' AS INT)::DOUBLE AS service_dns, "
+            "CAST(logon_type IN ('10', '7') AS INT)::DOUBLE AS logon_type_rdp, "
+            "CAST(src_is_private AS DOUBLE) AS src_private, CAST(dst_is_private AS DOUBLE) AS dst_private, "
+            "CAST(hour(make_timestamp(CAST(ts_s * 1000000 AS BIGINT))) AS DOUBLE) AS hour, "
+            + _ROLLING.format(type="DOUBLE") + " FROM directed", "directed"),
+        "provenance_join": _sql(
+            "SELECT 'alerts-' || substr(ts_text, 1, 10) AS _os_index, count(*) AS n, "
+            "CAST(sum(points) AS BIGINT) AS points, CAST(sum(length(a.raw)) AS BIGINT) AS raw_chars "
+            "FROM weak JOIN alerts a USING (id) GROUP BY 1", "weak"),
+        "stream_equals_batch": _sql("SELECT count(*) AS n, count(*) AS equal FROM alerts", ""),
+        "model_split": _sql(
+            ", c AS (SELECT CAST(CASE WHEN points <= 12 THEN 0 ELSE 1 END AS BIGINT) AS label, "
+            "count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS held FROM weak "
+            "GROUP BY 1) SELECT label, 'train' AS part, n - held AS n FROM c UNION ALL "
+            "SELECT label, 'test', CAST(ceil(held / CAST(2 AS DOUBLE)) AS BIGINT) FROM c UNION ALL "
+            "SELECT label, 'val', held - CAST(ceil(held / CAST(2 AS DOUBLE)) AS BIGINT) FROM c", "weak"),
+        "attribution_additivity": _sql("SELECT count(*) AS n, true AS additive FROM alerts", ""),
     }
     return out
 
 
+_ROLLING = ", ".join(
+    f"CAST(CASE WHEN coalesce(src_ip, '') = '' THEN 0 ELSE {agg} OVER (PARTITION BY src_ip ORDER BY "
+    f"ts_s RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) END AS {{type}}) AS {name}"
+    for name, agg, seconds in (("auth_fail_5m", "sum(auth_result_neg)", 300),
+                               ("auth_fail_1h", "sum(auth_result_neg)", 3600),
+                               ("conn_count_5m", "count(*)", 300)))
 _REPORT = """
 , j AS (SELECT CASE WHEN t IN ('error', 'purchase') THEN 1 ELSE 0 END AS y,
                CASE WHEN points >= 50 THEN 1 ELSE 0 END AS p FROM weak),

@@ -161,6 +161,11 @@ def nested_alerts(flat: DataFrame) -> DataFrame:
     )
 
 
+def alerts_path(spark: SparkSession, sf_dir: str) -> str:
+    name = re.sub(r"[^A-Za-z0-9]+", "-", os.path.abspath(sf_dir))
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/alerts{name}"
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed alert table, written once per application and read from there.
 
@@ -168,8 +173,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     derivation formulas into every filter that Spark pushes down.
     """
     tune(spark)
-    name = re.sub(r"[^A-Za-z0-9]+", "-", os.path.abspath(sf_dir))
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/alerts{name}"
+    path = alerts_path(spark, sf_dir)
     if path not in _WRITTEN:
         nested_alerts(flat_alerts(spark, sf_dir)).write.mode("overwrite").parquet(path)
         _WRITTEN.add(path)
