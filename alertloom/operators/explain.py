@@ -28,8 +28,8 @@ def top_features_sql(items: str, k: int | str) -> str:
 
     Stays inside the row: no shuffle is needed to rank the features of one document.
     """
-    keyed = (f"transform(filter({items}, t -> t.value <> 0.0D), t -> named_struct("
-             "'o', -abs(t.impact), 'feature', t.feature, 'value', t.value, 'impact', t.impact))")
+    keyed = (f"transform(filter({items}, t -> t.value <> 0.0D AND t.impact IS NOT NULL), "
+             "t -> named_struct('o', -abs(t.impact), 'feature', t.feature, 'value', t.value, 'impact', t.impact))")
     return (f"transform(slice(array_sort({keyed}), 1, {k}), t -> named_struct("
             "'feature', t.feature, 'value', t.value, 'impact', t.impact))")
 

@@ -56,7 +56,7 @@ class Trained:
         if method == "importances":
             return decided.withColumn("phi", F.expr(importance_array_sql(self.model.forest)))
         if method == "none":
-            return decided.withColumn("phi", F.expr("cast(array() AS array<double>)"))
+            return decided.withColumn("phi", F.expr("cast(NULL AS array<double>)"))
         raise ValueError(f"unknown attribution method: {method}")
 
     def test_scores(self) -> DataFrame:

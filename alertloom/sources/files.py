@@ -17,9 +17,14 @@ _READ_AS = T.StructType([*RAW_ALERT.fields, T.StructField(_CORRUPT, T.StringType
 WRAPPERS = ("alerts", "items", "data")
 
 
+def _strip(text: str) -> str:
+    """Without blanks, tabs and line ends around it."""
+    return f"trim(BOTH ' \\t\\r\\n' FROM {text})"
+
+
 def typed_alert_columns(parsed: str, raw: str) -> list[str]:
     """SQL of the alert columns from a struct read with ``schema.RAW_ALERT``."""
-    groups = (f"CASE WHEN startswith(ltrim({parsed}.rule.groups), '[') "
+    groups = (f"CASE WHEN startswith({parsed}.rule.groups, '[') "
               f"THEN from_json({parsed}.rule.groups, 'array<string>') "
               f"WHEN {parsed}.rule.groups IS NOT NULL "
               f"THEN transform(split({parsed}.rule.groups, ','), g -> trim(g)) END")
@@ -46,7 +51,7 @@ def parse_alerts(lines: DataFrame, value: str = "value") -> DataFrame:
     """One row per JSON text: the alert columns, other input columns, and ``bad`` for text that
     is no JSON object (those rows have no alert)."""
     others = [c for c in lines.columns if c != value]
-    parsed = lines.where(f"trim({value}) <> ''").withColumn("_p", F.from_json(
+    parsed = lines.where(f"{_strip(value)} <> ''").withColumn("_p", F.from_json(
         value, _READ_AS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
     return parsed.selectExpr(*typed_alert_columns("_p", value), *others,
                              f"_p IS NULL OR _p.{_CORRUPT} IS NOT NULL AS bad")
@@ -74,10 +79,10 @@ def unwrapped(documents: DataFrame) -> DataFrame:
     """
     shape = ("struct<" + ",".join(f"{w}:string" for w in WRAPPERS)
              + ",hits:struct<hits:array<struct<_source:string>>>>")
-    opened = documents.selectExpr(
-        "*", "try_parse_json(value) IS NOT NULL AS _whole", "substring(ltrim(value), 1, 1) AS _c",
+    opened = documents.selectExpr("file", f"{_strip('value')} AS value").selectExpr(
+        "*", "try_parse_json(value) IS NOT NULL AS _whole", "substring(value, 1, 1) AS _c",
         f"from_json(value, '{shape}') AS _w")
-    lists = " ".join(f"WHEN startswith(ltrim(_w.{w}), '[') THEN from_json(_w.{w}, 'array<string>')"
+    lists = " ".join(f"WHEN startswith(_w.{w}, '[') THEN from_json(_w.{w}, 'array<string>')"
                      for w in WRAPPERS)
     items = ("CASE WHEN NOT _whole THEN split(value, '\\n') "
              "WHEN _c = '[' THEN from_json(value, 'array<string>') "
@@ -85,7 +90,7 @@ def unwrapped(documents: DataFrame) -> DataFrame:
              "ELSE array(value) END")
     return (
         opened.selectExpr("file", "_whole", f"explode_outer({items}) AS value")
-        .where("trim(value) <> '' AND (NOT _whole OR startswith(ltrim(value), '{'))")
+        .where(f"{_strip('value')} <> '' AND (NOT _whole OR startswith(value, '{{'))")
         .select("value", "file")
     )
 
@@ -97,12 +102,12 @@ def layouts(spark: SparkSession, paths) -> DataFrame:
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.struct(F.col("_metadata.file_block_start"),
                          F.monotonically_increasing_id()).alias("at"))
-        .where("trim(value) <> ''")
+        .where(f"{_strip('value')} <> ''")
         .groupBy("file").agg(F.min_by("value", "at").alias("first"))
     )
-    wrapper = " OR ".join(f"startswith(ltrim(coalesce(m['{w}'], '')), '[')" for w in WRAPPERS)
+    wrapper = " OR ".join(f"startswith(coalesce(m['{w}'], ''), '[')" for w in WRAPPERS)
     return first.selectExpr(
-        "file", "CASE WHEN try_parse_json(first) IS NOT NULL AND startswith(ltrim(first), '{') "
+        "file", f"CASE WHEN try_parse_json(first) IS NOT NULL AND startswith({_strip('first')}, '{{') "
                 "THEN from_json(first, 'map<string,string>') END AS m"
     ).selectExpr("file", f"CASE WHEN m IS NULL OR {wrapper} OR map_contains_key(m, 'hits') "
                          "THEN 'document' ELSE 'lines' END AS layout")
@@ -174,7 +179,7 @@ def read_responses(responses: DataFrame, value: str = "value") -> DataFrame:
              "top_features ARRAY<STRUCT<feature: STRING, value: DOUBLE, impact: DOUBLE>>, "
              "explanation STRUCT<reason: STRING, "
              "top_features: ARRAY<STRUCT<feature: STRING, value: DOUBLE, impact: DOUBLE>>>")
-    core = (f"from_json(CASE WHEN startswith(ltrim(get_json_object({value}, '$.explanation')), '{{')"
+    core = (f"from_json(CASE WHEN startswith(get_json_object({value}, '$.explanation'), '{{')"
             f" THEN get_json_object({value}, '$.explanation') ELSE {value} END, '{inner}')")
     top = ("CASE WHEN coalesce(size(c.top_features), 0) > 0 THEN c.top_features "
            "ELSE coalesce(c.explanation.top_features, array()) END")

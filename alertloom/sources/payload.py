@@ -13,7 +13,7 @@ def nested_section_sql(key: str, source: str = "m") -> str:
     one level deep, else NULL."""
     own = f"{source}['{key}']"
     flat = f"map_filter({source}, (k, v) -> startswith(k, '{key}.'))"
-    return (f"CASE WHEN startswith(ltrim({own}), '{{') AND replace({own}, ' ', '') <> '{{}}' "
+    return (f"CASE WHEN startswith({own}, '{{') AND replace({own}, ' ', '') <> '{{}}' "
             f"THEN {own} WHEN size({flat}) > 0 THEN to_json(transform_keys({flat}, "
             f"(k, v) -> substring(k, {len(key) + 2}))) END")
 
