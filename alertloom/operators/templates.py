@@ -56,7 +56,7 @@ def merge_templates(masked: DataFrame) -> DataFrame:
         "*", *[f"aggregate(transform(h{s}, x -> x div 1048576), 0L, (a, x) -> a + x) AS s{s}"
                for s in (1, 2)])
     keyed = summed.selectExpr(
-        "template_id", "tokens", "s1", "s2", "posexplode(arrays_zip(h1, h2)) AS (pos, h)"
+        "template_id", "tokens", "s1", "s2", "posexplode_outer(arrays_zip(h1, h2)) AS (pos, h)"
     ).selectExpr("template_id", "tokens", "pos",
                  "s1 - (h.h1 div 1048576) AS k1", "s2 - (h.h2 div 1048576) AS k2")
     families = (keyed.groupBy("tokens", "pos", "k1", "k2").agg(F.count("*").alias("members"))

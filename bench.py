@@ -51,6 +51,7 @@ def main() -> None:
         query = catalogue.QUERIES[name]
         to_noop(query(spark, sf))
         queries[name] = min(timed(lambda: to_noop(query(spark, sf))) for _ in range(runs))
+        print(f"\n{name}: {queries[name]}", file=sys.stderr, flush=True)
     measured = [queries[name] for name in only]
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(measured), 3), "unit": "sec",
