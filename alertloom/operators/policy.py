@@ -121,12 +121,15 @@ def policy_tables(spark: SparkSession, policy: dict) -> tuple[DataFrame, DataFra
         for band in spec.get("bands", []):
             bands.append((name, band.get("name"), float(band.get("min", 0)), band.get("tag"),
                           band.get("action"), band.get("recommend")))
+    def table(rows: list[tuple], columns: str) -> DataFrame:
+        values = ", ".join("(" + ", ".join(
+            "NULL" if v is None else f"{v!r}D" if isinstance(v, float) else quoted(v)
+            for v in row) + ")" for row in rows)
+        return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
     return (
-        spark.createDataFrame(
-            sources, "policy_source STRING, source_threshold DOUBLE, source_tag STRING"),
-        spark.createDataFrame(
-            bands, "policy_source STRING, band STRING, min_score DOUBLE, band_tag STRING, "
-                   "band_action STRING, band_recommend STRING"),
+        table(sources, "policy_source, source_threshold, source_tag"),
+        table(bands, "policy_source, band, min_score, band_tag, band_action, band_recommend"),
     )
 
 
