@@ -95,5 +95,6 @@ def fill_enriched(canon: DataFrame) -> DataFrame:
         "dst_private": F.col("dst_is_private"),
     })
     if "event_ts" in canon.columns:
-        out = out.withColumn("hour", F.coalesce(F.hour("event_ts").cast("bigint"), F.lit(0)))
+        utc = F.to_utc_timestamp("event_ts", F.current_timezone())
+        out = out.withColumn("hour", F.coalesce(F.hour(utc).cast("bigint"), F.lit(0)))
     return out

@@ -450,10 +450,10 @@ def enriched_features(spark, sf):
 def provenance_join(spark, sf):
     """Documents back to the raw alerts they were made from, by index and document id."""
     raw = fixtures.alerts(spark, sf).selectExpr(
-        "cast(event_ts AS DATE) AS day", "doc_id AS _os_doc_id", "raw"
+        "substring(timestamp, 1, 10) AS day", "doc_id AS _os_doc_id", "raw"
     ).selectExpr("concat('alerts-', day) AS _os_index", "_os_doc_id", "length(raw) AS size")
     docs = weaklabel.weak_score(fixtures.alerts(spark, sf)).selectExpr(
-        "concat('alerts-', cast(event_ts AS DATE)) AS _os_index", "doc_id AS _os_doc_id",
+        "concat('alerts-', substring(timestamp, 1, 10)) AS _os_index", "doc_id AS _os_doc_id",
         "weak_points")
     return feedback.join_provenance(docs, raw).groupBy("_os_index").agg(
         F.count("*").alias("n"), F.sum("weak_points").alias("points"),

@@ -147,7 +147,7 @@ def nested_alerts(flat: DataFrame) -> DataFrame:
 
     return flat.selectExpr(
         "id AS doc_id", "id",
-        "date_format(timestamp_seconds(ts_s), \"yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'\") AS timestamp",
+        "date_format(to_utc_timestamp(timestamp_seconds(ts_s), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'\") AS timestamp",
         "timestamp_seconds(ts_s) AS event_ts",
         "named_struct('level', cast(rule_level AS STRING), 'id', cast(NULL AS STRING), "
         "'description', cast(NULL AS STRING), 'groups', split(rule_groups, ',')) AS rule",
