@@ -23,7 +23,6 @@ NAMES = feature_names(FMAP)
 MAPPED = ["src_ip", "dst_ip", "src_port", "dst_port", "proto", "bytes_sent", "bytes_recv",
           "duration_sec", "rule_level", "severity_ord", "action", "threat_family",
           "service_label", "user", "host", "auth_result", "logon_type"]
-T0 = datetime.fromtimestamp(fixtures.EPOCH, timezone.utc)
 
 
 def at(seconds: int) -> datetime:
