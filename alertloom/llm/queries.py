@@ -7,8 +7,34 @@ of its contract from the operator's output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat, decontaminate, licenses, mixing, quality
-from alertloom.llm.common import table
+from alertloom.llm import (
+    chat, decontaminate, jaccard, langid, licenses, lm, mixing, pii, quality, secret,
+)
+from alertloom.llm.common import hashed_part, table
+
+
+def op1_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"))
+
+
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = hashed_part(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs, model, F.col("text"))
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secret.find(docs, secret.field(docs))
+    return docs.select("doc_id", found.alias("s")).select(
+        "doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", "s.spans")
+
+
+def op4_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(table(spark, sf, "documents"), hashed_part(F.col("doc_id"), 5) == 1)
 
 
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +49,13 @@ def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.field(docs))
+    return docs.select("doc_id", found.alias("s")).select(
+        "doc_id", "s.n_email", "s.n_ip", "s.n_card", "s.n_phone", "s.base_sha256", "s.spans")
+
+
 def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)],
@@ -43,8 +76,13 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
+    "op2_language": op2_language,
+    "op3_secrets": op3_secrets,
+    "op4_language_model": op4_language_model,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
+    "op7_pii": op7_pii,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
