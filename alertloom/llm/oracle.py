@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries of this folder that SQL can express."""
 
 from alertloom.llm.decontaminate import WINDOW
+from alertloom.llm.jaccard import PERCENT, SHINGLE
 from alertloom.llm.license_texts import KNOWN, SPELLINGS
 
 
@@ -8,6 +9,36 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _jaccard() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    next_words = ", ".join(f"lead(x, {k}) OVER own" if k else "x" for k in range(SHINGLE))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+parts AS (
+  SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM w),
+grams AS (
+  SELECT doc_id, n, i, concat_ws(' ', {next_words}) AS gram FROM parts
+  WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (
+  SELECT w.doc_id, coalesce(g.s, []) AS s FROM w LEFT JOIN (
+    SELECT doc_id, list_sort(list(DISTINCT hash(gram))) AS s FROM grams
+    WHERE i <= greatest(1, n - {SHINGLE - 1}) GROUP BY doc_id) g USING (doc_id)),
+nodes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT node, n, t FROM (SELECT node, n, unnest(s) AS t FROM nodes)
+           QUALIFY count(*) OVER (PARTITION BY t) > 1),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (
+  SELECT node AS a, node AS b FROM nodes
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles,
+       coalesce(l.component_id, x.doc_id) AS component_id
+FROM sets x LEFT JOIN nodes ON x.s = nodes.s LEFT JOIN least l ON nodes.node = l.a"""
+
+
 def _contamination() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -39,8 +70,8 @@ FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 def _licenses() -> str:
     def canonical(text: str) -> str:
-        bare = (rf"regexp_replace({text}, '^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{{4}}|<year>|\[year\])"
-                r"|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$', ' ', 'gim')")
+        bare = (rf"regexp_replace({text}, '(?im)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{{4}}|<year>|\[year\])"
+                r"|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$', ' ', 'g')")
         bare = rf"' ' || trim(regexp_replace(lower({bare}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
         for variant, usual in SPELLINGS:
             bare = f"replace({bare}, ' {variant} ', ' {usual} ')"
@@ -64,4 +95,4 @@ LEFT JOIN known k ON d.text_digest = k.dig LEFT JOIN found f USING (doc_id)"""
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op5_decontaminate": _contamination(), "op6_licenses": _licenses()}
+    return {"op1_jaccard": _jaccard(), "op5_decontaminate": _contamination(), "op6_licenses": _licenses()}
