@@ -53,75 +53,112 @@ def spearman(df: DataFrame, first: str, current: str, name: str) -> DataFrame:
     return out.drop("_shared", "_x", "_y", "_rx", "_ry", "_n", "_sums", "_cov", "_vx", "_vy")
 
 
-def versus_first_round(records: DataFrame, rounds: int) -> DataFrame:
-    """Adds ``jaccard`` and ``rho`` of every later round against round 1 of the same key."""
-    own = records.selectExpr(
-        "*", f"(round - 1) div {BLOCK} AS block",
-        "transform(filter(top_features, t -> t.feature IS NOT NULL), t -> t.feature) AS _names",
-        "map_from_entries(transform(filter(top_features, t -> t.feature IS NOT NULL "
-        "AND t.impact IS NOT NULL), t -> struct(t.feature, t.impact))) AS _impacts")
-    first = own.where("round = 1").selectExpr(
-        "key", "_names AS _names1", "_impacts AS _impacts1",
-        f"explode(sequence(0L, {max(0, (rounds - 1) // BLOCK)}L)) AS block")
-    joined = own.join(first, ["key", "block"])
+def _last_by_name(entries: str) -> str:
+    """The entries of an array whose name does not come again later."""
+    return (f"filter({entries}, (t, at) -> NOT exists(slice({entries}, at + 2, size({entries})), "
+            "u -> u.feature = t.feature))")
+
+
+def _own(records: DataFrame) -> DataFrame:
+    """Records with their block, feature names, impacts by name and place within the key.
+
+    Records of one round and number are told apart by their content, so the order is the same in
+    every run.
+    """
+    named = "filter(top_features, t -> t.feature IS NOT NULL)"
+    return add(
+        records.selectExpr(
+            "key", "round", "i", "score", "label", f"(round - 1) div {BLOCK} AS block",
+            f"array_distinct(transform({named}, t -> t.feature)) AS _names",
+            f"filter({named}, t -> t.impact IS NOT NULL) AS _entries"),
+        _impacts=f"map_from_entries(transform({_last_by_name('_entries')}, "
+                 "t -> struct(t.feature, t.impact)))",
+        _place="struct(round, i, label, score, xxhash64(_names, _entries) AS content)",
+    ).drop("_entries")
+
+
+def _measured(records: DataFrame) -> DataFrame:
+    """One row per (key, block) with everything the report sums up.
+
+    The first record of a key by (round, number) is the base of all its other records. It is found
+    by an aggregation that combines before the shuffle and is then given to each block of the key.
+    """
+    own = _own(records)
+    base = (
+        own.groupBy("key").agg(
+            F.min_by(F.struct("_names", "_impacts"), "_place").alias("_base"),
+            F.min("_place").alias("_first"),
+            F.collect_set("block").alias("_all"))  # one number per BLOCK rounds
+        .selectExpr("key", "_base._names AS _names1", "_base._impacts AS _impacts1", "_first",
+                    "explode(_all) AS block"))
+    joined = own.join(base, ["key", "block"])
     compared = spearman(add(joined, jaccard=jaccard_sql("_names1", "_names")),
                         "_impacts1", "_impacts", "rho")
-    return compared.selectExpr(
-        "key", "block", "round", "i", "score", "label",
-        "CASE WHEN round > 1 THEN jaccard END AS jaccard",
-        "CASE WHEN round > 1 THEN rho END AS rho")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """One row per (key, block) with label flips inside the block and its edge labels."""
-    order = Window.partitionBy("key", "block").orderBy("round", "i")
-    previous = rows.withColumns({"_prev": F.lag("label").over(order),
-                                 "_pos": F.row_number().over(order)})
-    return previous.groupBy("key", "block").agg(
+    order = Window.partitionBy("key", "block").orderBy("_place")
+    placed = compared.withColumns({"_prev": F.lag("label").over(order),
+                                   "_pos": F.row_number().over(order)})
+    later = ~((F.col("_pos") == 1) & (F.col("_place") == F.col("_first")))
+    return placed.groupBy("key", "block").agg(
         F.count_if((F.col("_pos") > 1) & ~F.col("label").eqNullSafe(F.col("_prev"))).alias("flips"),
-        F.count("*").alias("n"),
-        F.min_by("label", F.struct("round", "i")).alias("first_label"),
-        F.max_by("label", F.struct("round", "i")).alias("last_label"),
+        F.count("*").alias("n"), F.max("round").alias("rounds"),
+        F.min_by("label", "_place").alias("first_label"),
+        F.max_by("label", "_place").alias("last_label"),
         F.collect_set("label").alias("labels"),  # the label names, two of them
+        F.count("score").alias("n_score"), F.avg("score").alias("mean"),
+        F.var_pop("score").alias("var"),
+        F.min("score").alias("low"), F.max("score").alias("high"),
+        F.sum(F.when(later, F.col("jaccard"))).alias("jaccard"),
+        F.sum(F.when(later, F.col("rho"))).alias("rho"),
+        F.count(F.when(later, F.col("rho"))).alias("n_rho"),
     )
 
 
-def label_flips(records: DataFrame) -> DataFrame:
-    """Per key: the labels seen and the share of consecutive rounds whose label changed."""
-    rows = records.selectExpr("key", "round", "i", "label", f"(round - 1) div {BLOCK} AS block")
+def consistency_report(records: DataFrame) -> DataFrame:
+    """The full per-key report: one pass over the records by (key, block), one merge by key.
+
+    Flip rate over consecutive records, sample deviation of the score (0 for one) and its range,
+    mean Jaccard (1 without other records) and mean Spearman against the key's first record.
+    """
     edge = Window.partitionBy("key").orderBy("block")
-    blocks = _blocks(rows).withColumn("_before", F.lag("last_label").over(edge))
     crossed = F.when(F.lag("n").over(edge).isNotNull()
-                     & ~F.col("first_label").eqNullSafe(F.col("_before")), 1).otherwise(0)
-    return (
-        blocks.withColumn("flips", F.col("flips") + crossed)
-        .groupBy("key").agg(F.sum("flips").alias("flips"), F.sum("n").alias("n"),
-                            F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels"))))
-                            .alias("label_set"))
-        .selectExpr("key", "label_set",
-                    "CASE WHEN n > 1 THEN flips / (n - 1) ELSE 0.0D END AS label_flip_rate")
-    )
+                     & ~F.col("first_label").eqNullSafe(F.lag("last_label").over(edge)), 1).otherwise(0)
+    blocks = _measured(records).withColumn("flips", F.col("flips") + crossed)
+    n_score = F.col("n_score")
+    merged = blocks.groupBy("key").agg(
+        F.sum("flips").alias("flips"), F.sum("n").alias("n"), F.max("rounds").alias("rounds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("label_set"),
+        F.sum("n_score").alias("n_score"),
+        (F.sum(n_score * F.col("mean")) / F.sum("n_score")).alias("mean"),
+        F.collect_list(F.struct("n_score", "mean", "var")).alias("_parts"),
+        (F.max("high") - F.min("low")).alias("score_max_delta"),
+        F.sum("jaccard").alias("jaccard"), F.sum("rho").alias("rho"), F.sum("n_rho").alias("n_rho"))
+    # Squared deviations of the blocks around the common mean.
+    square = ("aggregate(filter(_parts, p -> p.n_score > 0), 0D, (s, p) -> s + p.n_score * "
+              "(p.var + (p.mean - mean) * (p.mean - mean)))")
+    return merged.selectExpr(
+        "key", "cast(rounds AS BIGINT) AS rounds", "label_set",
+        "CASE WHEN n > 1 THEN flips / (n - 1) ELSE 0.0D END AS label_flip_rate",
+        f"CASE WHEN n_score > 1 THEN sqrt({square} / (n_score - 1)) WHEN n_score = 1 THEN 0.0D END "
+        "AS score_std",
+        "score_max_delta",
+        "CASE WHEN n > 1 THEN jaccard / (n - 1) ELSE 1.0D END AS topfeat_jaccard_mean_vs_r1",
+        "CASE WHEN n_rho > 0 THEN rho / n_rho END AS impact_spearman_mean_vs_r1")
 
 
-def score_spread(records: DataFrame) -> DataFrame:
-    """Per key: sample deviation of the score (0 for one round) and its range."""
-    return records.groupBy("key").agg(
-        F.coalesce(F.stddev_samp("score"), F.when(F.count("score") > 0, 0.0)).alias("score_std"),
-        (F.max("score") - F.min("score")).alias("score_max_delta"))
+def label_flips(records: DataFrame) -> DataFrame:
+    """Per key: the labels seen and the share of consecutive records whose label changed."""
+    return consistency_report(records).select("key", "label_set", "label_flip_rate")
 
 
-def explanation_overlap(records: DataFrame, rounds: int) -> DataFrame:
-    """Per key: mean Jaccard (1 without later rounds) and mean Spearman against round 1."""
-    return versus_first_round(records, rounds).groupBy("key").agg(
-        F.coalesce(F.avg("jaccard"), F.lit(1.0)).alias("topfeat_jaccard_mean_vs_r1"),
-        F.avg("rho").alias("impact_spearman_mean_vs_r1"))
+def score_spread(records: DataFrame) -> DataFrame:
+    """Per key: sample deviation of the score (0 for one record) and its range."""
+    return consistency_report(records).select("key", "score_std", "score_max_delta")
 
 
-def consistency_report(records: DataFrame, rounds: int) -> DataFrame:
-    """The full per-key report."""
-    return (label_flips(records).join(score_spread(records), "key")
-            .join(explanation_overlap(records, rounds), "key")
-            .withColumn("rounds", F.lit(rounds).cast("bigint")))
+def explanation_overlap(records: DataFrame) -> DataFrame:
+    """Per key: mean Jaccard (1 without other records) and mean Spearman against the first record."""
+    return consistency_report(records).select(
+        "key", "topfeat_jaccard_mean_vs_r1", "impact_spearman_mean_vs_r1")
 
 
 def consistency_summary(report: DataFrame) -> DataFrame:

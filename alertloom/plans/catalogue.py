@@ -260,7 +260,7 @@ def consistency_score(spark, sf):
 
 
 def _overlap(spark, sf) -> DataFrame:
-    return consistency.explanation_overlap(_rounds(spark, sf), fixtures.ROUNDS)
+    return consistency.explanation_overlap(_rounds(spark, sf))
 
 
 def consistency_jaccard(spark, sf):
@@ -274,7 +274,7 @@ def consistency_spearman(spark, sf):
 
 
 def _report(spark, sf) -> DataFrame:
-    return consistency.consistency_report(_rounds(spark, sf), fixtures.ROUNDS)
+    return consistency.consistency_report(_rounds(spark, sf))
 
 
 def consistency_summary(spark, sf):
@@ -283,6 +283,16 @@ def consistency_summary(spark, sf):
                                             ("flip_rate_mean", "jaccard_mean", "score_std_mean")])
 
 
+def consistency_gaps(spark, sf):
+    """The report where every third alert lacks its first round and every fifth comes twice."""
+    rows = _rounds(spark, sf).where("NOT (i % 3 = 0 AND round = 1)")
+    rows = rows.unionByName(rows.where("i % 5 = 0").withColumn("i", F.expr("i + 1000000000")))
+    return consistency.consistency_report(rows).select(
+        "key", "rounds", F.array_join("label_set", ",").alias("label_set"), "label_flip_rate",
+        *[F.round(c, 9).alias(c) for c in ("score_std", "score_max_delta",
+                                           "topfeat_jaccard_mean_vs_r1")])
+
+
 def worst_ten(spark, sf):
     rounded = _report(spark, sf).withColumn(
         "topfeat_jaccard_mean_vs_r1", F.round("topfeat_jaccard_mean_vs_r1", 9))
@@ -503,6 +513,7 @@ QUERIES = {
     "consistency_jaccard": consistency_jaccard,
     "consistency_spearman": consistency_spearman,
     "consistency_summary": consistency_summary,
+    "consistency_gaps": consistency_gaps,
     "worst_ten": worst_ten,
     "average_precision": average_precision_query,
     "score_quantile": score_quantile_query,

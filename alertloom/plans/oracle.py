@@ -337,6 +337,23 @@ FROM (SELECT r.key, r.round,
       GROUP BY r.key, r.round)
 GROUP BY key
 """
+_GAPS = """
+, gap AS (SELECT * FROM labelled WHERE NOT (i % 3 = 0 AND round = 1)),
+many AS (SELECT key, round, i, score, label, i AS seq FROM gap
+  UNION ALL SELECT key, round, i, score, label, i + 1000000000 FROM gap WHERE i % 5 = 0),
+placed AS (SELECT *, row_number() OVER w AS pos, lag(label) OVER w AS prev,
+    list_filter(range(0, 12), lambda j: (i + j * round) % 5 <> 0) AS fs
+  FROM many WINDOW w AS (PARTITION BY key ORDER BY round, seq)),
+firsts AS (SELECT key, fs AS f1 FROM placed WHERE pos = 1)
+SELECT key, max(round) AS rounds, array_to_string(list_sort(list(DISTINCT label)), ',') AS label_set,
+  count(*) FILTER (WHERE pos > 1 AND label <> prev) / CAST(count(*) - 1 AS DOUBLE) AS label_flip_rate,
+  round(stddev_samp(score), 9) AS score_std, round(max(score) - min(score), 9) AS score_max_delta,
+  round(avg(CASE WHEN pos > 1 THEN CASE WHEN len(fs) = 0 AND len(f1) = 0 THEN 1.0
+    ELSE len(list_intersect(fs, f1))
+         / CAST(len(list_distinct(list_concat(fs, f1))) AS DOUBLE) END END), 9)
+    AS topfeat_jaccard_mean_vs_r1
+FROM placed JOIN firsts USING (key) GROUP BY key
+"""
 _SHARED = """
 SELECT x.key, x.round, x.impact AS b, y.impact AS a,
   rank() OVER (PARTITION BY x.key, x.round ORDER BY x.impact)
@@ -582,6 +599,7 @@ def oracle() -> dict[str, str]:
             "SELECT count(*) AS alerts, CAST(10 AS BIGINT) AS rounds, round(avg(label_flip_rate), 8) AS "
             "flip_rate_mean, round(avg(jaccard), 8) AS jaccard_mean, round(avg(score_std), 8) AS "
             "score_std_mean FROM flips JOIN spread USING (key) JOIN jac USING (key)", "jac"),
+        "consistency_gaps": _sql(_GAPS, "labelled"),
         "worst_ten": _sql(
             "SELECT key, label_flip_rate, round(jaccard, 9) AS topfeat_jaccard_mean_vs_r1 FROM flips "
             "JOIN jac USING (key) ORDER BY label_flip_rate DESC, round(jaccard, 9), key LIMIT 10", "jac"),

@@ -97,7 +97,7 @@ def test_consistency_against_brute_force(spark, monkeypatch):
             names = rng.sample("pqrstu", rng.randint(0, 5))
             data.append((key, r, 1, rng.random(), rng.choice(["malicious", "benign"]),
                          [(f, 1.0, float(rng.randint(-2, 2))) for f in names]))
-    report = {r["key"]: r for r in C.consistency_report(records(spark, data), n_rounds).collect()}
+    report = {r["key"]: r for r in C.consistency_report(records(spark, data)).collect()}
     for key in ("a", "b", "c"):
         mine = [d for d in data if d[0] == key]
         labels = [d[4] for d in mine]
@@ -121,11 +121,32 @@ def test_consistency_against_brute_force(spark, monkeypatch):
 
 
 def test_one_round_is_stable(spark):
-    report = C.consistency_report(records(spark, [("a", 1, 1, 0.5, "benign", [])]), 1).first()
+    report = C.consistency_report(records(spark, [("a", 1, 1, 0.5, "benign", [])])).first()
     assert (report["label_flip_rate"], report["score_std"],
             report["topfeat_jaccard_mean_vs_r1"]) == (0.0, 0.0, 1.0)
 
 
+def test_first_record_is_the_base_whatever_its_round(spark):
+    data = [
+        ("late", 2, 1, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0)]),
+        ("late", 3, 1, 0.6, "malicious", [("p", 1.0, 2.0)]),
+        ("twice", 1, 1, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0), ("r", 1.0, 3.0)]),
+        ("twice", 1, 2, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0)]),
+        ("twice", 2, 1, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0)]),
+        ("twice", 2, 2, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0)]),
+        ("same", 1, 1, 0.5, "benign", [("p", 1.0, 9.0), ("q", 1.0, 2.0), ("p", 1.0, 1.0)]),
+        ("same", 2, 1, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0), ("q", 1.0, 0.0)]),
+        ("same", 600, 1, 0.5, "benign", [("p", 1.0, 1.0), ("q", 1.0, 2.0)]),
+    ]
+    report = {r["key"]: r for r in C.consistency_report(records(spark, data)).collect()}
+    assert report["late"]["topfeat_jaccard_mean_vs_r1"] == 0.5
+    assert report["late"]["label_flip_rate"] == 1.0
+    assert math.isclose(report["twice"]["topfeat_jaccard_mean_vs_r1"], 2 / 3)
+    assert report["same"]["topfeat_jaccard_mean_vs_r1"] == 1.0
+    assert report["same"]["impact_spearman_mean_vs_r1"] == 0.0  # -1 and +1
+    assert report["same"]["rounds"] == 600
+
+
 def test_rolling_against_brute_force(spark):
     rng, t0 = random.Random(8), datetime(2024, 1, 1, 5, 59, 0, tzinfo=timezone.utc)
     rows = [(n, rng.choice(["10.0.0.1"] * 4 + ["10.0.0.2", "", None]),
