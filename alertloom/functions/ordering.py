@@ -1,20 +1,31 @@
 """Exact ranks and running totals over a whole table without a global sort in one task.
 
-Values are placed in buckets that grow with the value (two levels of equal width, the second one
-stretched to what each first-level bucket really holds). Totals per bucket give every bucket its
-starting offset; inside a bucket an ordinary window does the rest. The offset table has at most
-``fan * fan`` rows whatever the size of the input, so it can be broadcast.
+Values are placed in buckets between splitters taken from the data (approximate percentiles), so
+long tails and infinities fill buckets as evenly as anything else. Totals per bucket give every
+bucket its starting offset; inside a bucket an ordinary window does the rest. The offset table has
+at most ``fan + 1`` rows whatever the size of the input, so it can be broadcast.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 256
+FAN = 1024
 
 
-def _bucket(x: str, lo: str, hi: str, fan: int):
-    return F.expr(f"CASE WHEN {hi} > {lo} THEN least(cast(floor(({x} - {lo}) / ({hi} - {lo}) "
-                  f"* {fan}) AS INT), {fan - 1}) ELSE 0 END")
+def _bucketed(df: DataFrame, x: str, fan: int) -> DataFrame:
+    """Adds ``_b``: how many splitters lie at or below the value, found by halving in the row."""
+    points = [k / fan for k in range(1, fan)]
+    cuts = df.agg(F.array_distinct(F.percentile_approx(x, points, 20 * fan)).alias("cuts"))
+    steps = max(1, fan.bit_length())
+    middle = "shiftright(s.lo + s.hi, 1)"
+    span = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_cuts)), (s, i) -> "
+            "CASE WHEN s.lo >= s.hi THEN s "
+            f"WHEN element_at(_cuts, {middle} + 1) <= {x} "
+            f"THEN named_struct('lo', {middle} + 1, 'hi', s.hi) "
+            f"ELSE named_struct('lo', s.lo, 'hi', {middle}) END).lo")
+    return (df.withColumn("_cuts", F.coalesce(cuts.select("cuts").scalar(),
+                                              F.array().cast("array<double>")))
+            .withColumn("_b", F.expr(span)).drop("_cuts"))
 
 
 def running_totals(df: DataFrame, x: str, measures: list[str], fan: int = FAN) -> DataFrame:
@@ -22,25 +33,19 @@ def running_totals(df: DataFrame, x: str, measures: list[str], fan: int = FAN) -
 
     ``x`` is a DOUBLE without NULL or NaN, and ``df`` holds each value once (aggregate first).
     """
-    limits = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    level1 = (df.withColumns({"_lo": limits.select("lo").scalar(),
-                              "_hi": limits.select("hi").scalar()})
-              .withColumn("_b1", _bucket(x, "_lo", "_hi", fan)).drop("_lo", "_hi"))
-    spans = level1.groupBy("_b1").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    level2 = (level1.join(F.broadcast(spans), "_b1")  # at most ``fan`` rows
-              .withColumn("_b2", _bucket(x, "_lo", "_hi", fan)).drop("_lo", "_hi"))
-    before = Window.orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _bucketed(df, x, fan)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        level2.groupBy("_b1", "_b2").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        .select("_b1", "_b2", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0))
-                                .alias(f"_o_{m}") for m in measures])
+        placed.groupBy("_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+        .select("_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}")
+                        for m in measures])
     )
-    inside = Window.partitionBy("_b1", "_b2").orderBy(x).rowsBetween(
+    inside = Window.partitionBy("_b").orderBy(x).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        level2.join(F.broadcast(offsets), ["_b1", "_b2"])  # at most ``fan * fan`` rows
+        placed.join(F.broadcast(offsets), "_b")  # at most ``fan`` rows
         .withColumns({f"cum_{m}": F.col(f"_o_{m}") + F.sum(m).over(inside) for m in measures})
-        .drop("_b1", "_b2", *[f"_o_{m}" for m in measures])
+        .drop("_b", *[f"_o_{m}" for m in measures])
     )
 
 

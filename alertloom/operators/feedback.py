@@ -35,8 +35,8 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
         F.avg(F.col("trust_score").cast("double")).alias("trust_mean"),
         F.avg(F.col("overridden").cast("double")).alias("override_rate"),
         F.count("*").alias("n"),
-    ).withColumns({name: times.select(name).scalar()
-                   for name in ("decision_ms_p50", "decision_ms_p95")})
+    ).withColumn("_t", times.select(F.struct("decision_ms_p50", "decision_ms_p95").alias("t")).scalar()
+                 ).select("trust_mean", "override_rate", "n", "_t.*")
 
 
 def join_explanations(feedback: DataFrame, documents: DataFrame) -> DataFrame:

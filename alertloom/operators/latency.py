@@ -20,4 +20,5 @@ def latency_summary(latency: DataFrame, only_success: bool = True) -> DataFrame:
     return kept.agg(
         F.count("*").alias("samples"), F.avg("latency_ms").alias("mean"),
         F.min("latency_ms").alias("min"), F.max("latency_ms").alias("max"),
-    ).withColumns({name: ranked.select(name).scalar() for name in ("median", "p95", "p99")})
+    ).withColumn("_r", ranked.select(F.struct("median", "p95", "p99").alias("r")).scalar()).select(
+        "samples", "mean", "min", "max", "_r.median", "_r.p95", "_r.p99")

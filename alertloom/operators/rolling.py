@@ -1,15 +1,17 @@
 """Rolling counters per source address.
 
-Counts are taken per (address, instant) first. Time is cut into hours and every count is also
-given to the following hour as history, so a window never spans more than two hours of distinct
-instants of one address: a scanning host is spread over its hours instead of meeting in one task.
+Counts are taken per (address, instant) first. Each count enters its window at its instant and leaves
+it one microsecond after the window's length, so a running sum of entries and departures is the
+counter: linear in the number of instants, whatever the density. The running sum is taken inside
+minutes and the minutes' totals are carried on, so an address meets in one task only by its minutes.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SECOND = 1_000_000
-_HOUR = 3600 * _SECOND
+_SLICE = 60 * _SECOND
+NAMES = ("auth_fail_5m", "auth_fail_1h", "conn_count_5m")
 
 
 def rolling_counters(canon: DataFrame, address: str = "src_ip", ts: str = "event_ts") -> DataFrame:
@@ -23,25 +25,30 @@ def rolling_counters(canon: DataFrame, address: str = "src_ip", ts: str = "event
         keyed.where(usable).groupBy(F.col(address).alias("_addr"), "_us")
         .agg(F.sum("auth_result_neg").alias("fails"), F.count("*").alias("conns"))
     )
-    hour = F.expr(f"_us div {_HOUR}")
-    slices = counts.withColumn("_slice", F.explode(F.array(hour, hour + 1)))
-    by_slice = Window.partitionBy("_addr", "_slice").orderBy("_us")
-    five, sixty = (by_slice.rangeBetween(-minutes * 60 * _SECOND, 0) for minutes in (5, 60))
+    five, hour = 300 * _SECOND + 1, 3600 * _SECOND + 1
+    changes = counts.select("_addr", F.expr(
+        "inline(array(named_struct('_us', _us, 'a', fails, 'b', fails, 'c', conns, 'own', true), "
+        f"named_struct('_us', _us + {five}, 'a', -fails, 'b', 0L, 'c', -conns, 'own', false), "
+        f"named_struct('_us', _us + {hour}, 'a', 0L, 'b', -fails, 'c', 0L, 'own', false)))"))
+    changes = (changes.groupBy("_addr", "_us", F.expr(f"_us div {_SLICE}").alias("_slice"))
+               .agg(*[F.sum(c).alias(c) for c in "abc"], F.bool_or("own").alias("own")))
+    slices = Window.partitionBy("_addr").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        changes.groupBy("_addr", "_slice").agg(*[F.sum(c).alias(c) for c in "abc"])
+        .select("_addr", "_slice", *[F.coalesce(F.sum(c).over(slices), F.lit(0)).alias(f"_{c}")
+                                     for c in "abc"]))
+    inside = Window.partitionBy("_addr", "_slice").orderBy("_us").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     rolled = (
-        slices.withColumns({
-            "auth_fail_5m": F.sum("fails").over(five),
-            "auth_fail_1h": F.sum("fails").over(sixty),
-            "conn_count_5m": F.sum("conns").over(five),
-        })
-        .where(F.col("_slice") == hour)
-        .select("_addr", "_us", "auth_fail_5m", "auth_fail_1h", "conn_count_5m")
-    )
-    names = ("auth_fail_5m", "auth_fail_1h", "conn_count_5m")
-    base = keyed.drop(*names)
+        changes.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in "abc"}).where("own")
+        .join(carried, ["_addr", "_slice"])
+        .select("_addr", "_us", *[(F.col(f"_in_{c}") + F.col(f"_{c}")).alias(name)
+                                  for c, name in zip("abc", NAMES)]))
+    base = keyed.drop(*NAMES)
     # Every row gets a partner key, so that rows without an address spread over their instants.
     joined = base.withColumn("_addr", F.coalesce(F.col(address), F.lit(""))).join(
         rolled, ["_addr", "_us"], "left")
-    return (joined.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in names})
+    return (joined.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in NAMES})
             .drop("_addr", "_us"))
 
 

@@ -147,6 +147,33 @@ def test_first_record_is_the_base_whatever_its_round(spark):
     assert report["same"]["rounds"] == 600
 
 
+def test_buckets_stay_even_on_long_tails_and_infinity(spark):
+    from alertloom.functions.ordering import _bucketed
+    rng = random.Random(11)
+    tail = [10 ** rng.uniform(-6, 6) for _ in range(20000)]
+    for values in (tail, tail + [float("inf"), float("-inf")]):
+        df = spark.createDataFrame([(v,) for v in values], "x DOUBLE").distinct()
+        fullest = _bucketed(df, "x", 1024).groupBy("_b").count().agg({"count": "max"}).first()[0]
+        assert fullest < 0.01 * len(values)
+        got = middle(df)
+        assert got == sorted(values)[len(values) // 2]
+
+
+def middle(df):
+    from alertloom.functions.ordering import order_statistics
+    return order_statistics(df, "x", {"mid": "n div 2"}).first()["mid"]
+
+
+def test_a_busy_address_is_counted_in_linear_time(spark):
+    import time
+    df = spark.range(200_000).selectExpr(
+        "'10.0.0.1' AS src_ip", "1L AS auth_result_neg", "id",
+        "timestamp_micros(1704067200000000 + id * 17000) AS event_ts")
+    start = time.time()
+    top = rolling.rolling_counters(df).agg({"auth_fail_5m": "max", "auth_fail_1h": "max"}).first()
+    assert sorted(top) == [300_000_000 // 17000 + 1, 200_000] and time.time() - start < 60
+
+
 def test_rolling_against_brute_force(spark):
     rng, t0 = random.Random(8), datetime(2024, 1, 1, 5, 59, 0, tzinfo=timezone.utc)
     rows = [(n, rng.choice(["10.0.0.1"] * 4 + ["10.0.0.2", "", None]),
