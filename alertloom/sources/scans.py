@@ -15,10 +15,17 @@ WINDOW_MINUTES, MAX_WINDOWS_BACK, PAGE_SIZE = 10, 4, 100
 
 def window_bounds(now: datetime, last: datetime | None = None,
                   minutes: int = WINDOW_MINUTES) -> tuple[datetime, datetime]:
-    """From the last processed moment, but never more than four windows back, to now."""
-    if last is None:
-        return now - timedelta(minutes=minutes), now
-    return max(last, now - timedelta(minutes=minutes * MAX_WINDOWS_BACK)), now
+    """From the last processed moment to now, however long ago that was; first one window."""
+    return (now - timedelta(minutes=minutes) if last is None else last), now
+
+
+def capped_window(now: datetime, last: datetime | None = None, minutes: int = WINDOW_MINUTES,
+                  windows: int = MAX_WINDOWS_BACK
+                  ) -> tuple[datetime, datetime, tuple[datetime, datetime] | None]:
+    """As ``window_bounds`` but at most ``windows`` windows back; also the interval left out."""
+    start, end = window_bounds(now, last, minutes)
+    limit = now - timedelta(minutes=minutes * windows)
+    return (limit, end, (start, limit)) if start < limit else (start, end, None)
 
 
 def parse_since(text: str, now: datetime | None = None) -> datetime:
@@ -55,19 +62,34 @@ def scan_counters(alerts: DataFrame, start: datetime, end: datetime, level: int
     )
 
 
-def next_page(alerts: DataFrame, since: datetime | None, now: datetime, level: int = 0,
+def next_page(alerts: DataFrame, after: tuple[datetime, str] | None, now: datetime, level: int = 0,
               size: int = PAGE_SIZE, newest_first: bool = False) -> DataFrame:
     """The next alerts after the cursor, oldest first; without a cursor those of the last hour.
 
-    The document id breaks ties, so a page edge inside one instant loses nothing when the caller
-    resumes from (event_ts, doc_id).
+    The cursor is (event_ts, doc_id) of the last alert handed out, so a page edge inside one instant
+    loses nothing.
     """
-    ts = F.col("event_ts")
-    start = ts > F.lit(since) if since else ts >= F.lit(now - timedelta(hours=1))
-    order = [ts.desc(), F.col("doc_id")] if newest_first else [ts, F.col("doc_id")]
+    ts, doc = F.col("event_ts"), F.col("doc_id")
+    if after:
+        start = (ts > F.lit(after[0])) | ((ts == F.lit(after[0])) & (doc > F.lit(after[1])))
+    else:
+        start = ts >= F.lit(now - timedelta(hours=1))
+    order = [ts.desc(), doc] if newest_first else [ts, doc]
     return min_level(alerts.where(start), level).orderBy(*order).limit(size)
 
 
+def pages(alerts: DataFrame, since: datetime, level: int = 0, size: int = PAGE_SIZE):
+    """Page after page from ``since`` on, as (number, page); only cursors come to the driver."""
+    after, number = (since, ""), 0
+    while True:
+        page = next_page(alerts, after, since, level, size)
+        last = page.orderBy(F.desc("event_ts"), F.desc("doc_id")).select("event_ts", "doc_id").first()
+        if last is None:
+            return
+        yield number, page
+        after, number = (last["event_ts"].astimezone(timezone.utc), last["doc_id"]), number + 1
+
+
 def backfill(alerts: DataFrame, last: int, level: int = 6, word: str | None = None) -> DataFrame:
     """The last N alerts by time, filtered afterwards."""
     newest = alerts.orderBy(F.col("event_ts").desc(), F.col("doc_id").desc()).limit(last)

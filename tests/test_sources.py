@@ -113,7 +113,11 @@ def test_windows_and_lookback():
     now = datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
     assert scans.window_bounds(now) == (now - timedelta(minutes=10), now)
     assert scans.window_bounds(now, now - timedelta(minutes=25))[0] == now - timedelta(minutes=25)
-    assert scans.window_bounds(now, now - timedelta(days=1))[0] == now - timedelta(minutes=40)
+    day = now - timedelta(days=1)
+    assert scans.window_bounds(now, day) == (day, now)
+    limit = now - timedelta(minutes=40)
+    assert scans.capped_window(now, day) == (limit, now, (day, limit))
+    assert scans.capped_window(now, limit) == (limit, now, None)
     assert scans.parse_since("2h", now) == now - timedelta(hours=2)
     with pytest.raises(ValueError):
         scans.parse_since("2w", now)
