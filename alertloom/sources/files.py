@@ -153,32 +153,58 @@ def read_batch(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
 def read_latency(spark: SparkSession, paths) -> DataFrame:
     """Latency log lines with a numeric latency; other lines are skipped."""
-    return (spark.read.text(paths)
-            .select(F.from_json("value", "doc_id STRING, latency_ms DOUBLE, status_code INT, "
-                                         "ok BOOLEAN").alias("r"))
-            .select("r.*").where("latency_ms IS NOT NULL"))
+    return parse_latency(spark.read.text(paths))
+
+
+def parse_latency(lines: DataFrame, value: str = "value") -> DataFrame:
+    """As ``read_latency``, from text. A status that is there but no number becomes 0, an ``ok`` that
+    is there but not JSON true becomes false: both count as failures."""
+    record = F.from_json(value, "doc_id STRING, latency_ms DOUBLE, status_code VARIANT, ok VARIANT")
+    return (
+        lines.select(record.alias("r")).select("r.*").where("latency_ms IS NOT NULL")
+        .selectExpr(
+            "doc_id", "latency_ms",
+            "CASE WHEN status_code IS NULL OR is_variant_null(status_code) THEN NULL "
+            "WHEN schema_of_variant(status_code) = 'BIGINT' "
+            "THEN coalesce(try_variant_get(status_code, '$', 'int'), 0) ELSE 0 END AS status_code",
+            "CASE WHEN ok IS NULL OR is_variant_null(ok) THEN NULL "
+            "ELSE schema_of_variant(ok) = 'BOOLEAN' AND try_variant_get(ok, '$', 'boolean') END AS ok")
+    )
 
 
 def read_feedback(spark: SparkSession, paths) -> DataFrame:
     """Feedback log lines; a line that cannot be read stays as a row with ``bad`` set."""
+    return parse_feedback(spark.read.text(paths))
+
+
+def parse_feedback(lines: DataFrame, value: str = "value") -> DataFrame:
+    """As ``read_feedback``, from text. The trust is 3 if absent, numbers lose their fraction, text
+    must be a whole number; null and anything else make the row bad."""
+    trust = ("CASE WHEN r.trust_score IS NULL THEN 3L "
+             "WHEN schema_of_variant(r.trust_score) = 'STRING' THEN CASE WHEN "
+             "try_variant_get(r.trust_score, '$', 'string') RLIKE '^\\\\s*[+-]?[0-9]+\\\\s*$' "
+             "THEN try_cast(trim(try_variant_get(r.trust_score, '$', 'string')) AS BIGINT) END "
+             "WHEN NOT is_variant_null(r.trust_score) "
+             "THEN try_cast(try_variant_get(r.trust_score, '$', 'double') AS BIGINT) END")
     return (
-        spark.read.text(paths)
-        .select("value", F.from_json("value", "alert_id STRING, trust_score STRING, "
-                                              "overridden BOOLEAN, decision_ms BIGINT").alias("r"))
-        .selectExpr("r.alert_id", "coalesce(try_cast(r.trust_score AS BIGINT), 3L) AS trust_score",
-                    "coalesce(r.overridden, false) AS overridden", "r.decision_ms",
-                    "try_parse_json(value) IS NULL OR (r.trust_score IS NOT NULL "
-                    "AND try_cast(r.trust_score AS BIGINT) IS NULL) AS bad")
+        lines.select(F.col(value), F.from_json(
+            value, "alert_id STRING, trust_score VARIANT, overridden BOOLEAN, decision_ms BIGINT")
+            .alias("r"))
+        .selectExpr("r.alert_id", f"{trust} AS _trust", "coalesce(r.overridden, false) AS overridden",
+                    "r.decision_ms", f"try_parse_json({value}) IS NULL AS _broken")
+        .selectExpr("alert_id", "coalesce(_trust, 3L) AS trust_score", "overridden", "decision_ms",
+                    "_broken OR _trust IS NULL AS bad")
     )
 
 
 def read_responses(responses: DataFrame, value: str = "value") -> DataFrame:
-    """Explanation responses, flat or nested, to score, label, top features and reason."""
+    """Explanation responses, flat or nested, to score, label, top features and reason.
+
+    Entries of the feature list that are no objects or name no feature are skipped one by one.
+    """
     inner = ("predicted_score STRING, predicted_label STRING, score STRING, label STRING, "
-             "model STRUCT<score: STRING, label: STRING>, reason STRING, "
-             "top_features ARRAY<STRUCT<feature: STRING, value: DOUBLE, impact: DOUBLE>>, "
-             "explanation STRUCT<reason: STRING, "
-             "top_features: ARRAY<STRUCT<feature: STRING, value: DOUBLE, impact: DOUBLE>>>")
+             "model STRUCT<score: STRING, label: STRING>, reason STRING, top_features ARRAY<STRING>, "
+             "explanation STRUCT<reason: STRING, top_features: ARRAY<STRING>>")
     core = (f"from_json(CASE WHEN startswith(get_json_object({value}, '$.explanation'), '{{')"
             f" THEN get_json_object({value}, '$.explanation') ELSE {value} END, '{inner}')")
     top = ("CASE WHEN coalesce(size(c.top_features), 0) > 0 THEN c.top_features "
@@ -189,5 +215,8 @@ def read_responses(responses: DataFrame, value: str = "value") -> DataFrame:
         "coalesce(try_cast(c.predicted_score AS DOUBLE), try_cast(c.model.score AS DOUBLE), "
         "try_cast(c.score AS DOUBLE)) AS score",
         "coalesce(c.predicted_label, c.model.label, c.label) AS label",
-        f"filter({top}, t -> t.feature IS NOT NULL) AS top_features",
+        f"filter(transform(filter({top}, t -> startswith(t, '{{')), t -> named_struct("
+        "'feature', get_json_object(t, '$.feature'), 'value', get_json_object(t, '$.value'), "
+        "'impact', try_cast(get_json_object(t, '$.impact') AS DOUBLE))), "
+        "t -> t.feature IS NOT NULL) AS top_features",
         "coalesce(nullif(c.reason, ''), c.explanation.reason) AS reason")

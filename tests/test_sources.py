@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from alertloom.operators.canonical import canonicalize
+from alertloom.operators.latency import successful
 from alertloom.sources import files, scans
 from alertloom.sources.payload import normalize_payload
 from alertloom.streaming import sinks
@@ -87,6 +88,16 @@ def test_batch_and_log_files(spark, tmp_path):
     log = write(tmp_path, "latency.jsonl", '{"latency_ms": 5}\n{"latency_ms": "7"}\nx\n'
                                            '{"latency_ms": 1.5, "status_code": 500, "ok": false}\n')
     assert sorted(r["latency_ms"] for r in files.read_latency(spark, log).collect()) == [1.5, 5.0]
+    texts = ['{"latency_ms": 1, "status_code": "500"}', '{"latency_ms": 2, "ok": "false"}',
+             '{"latency_ms": 3, "status_code": "200"}', '{"latency_ms": 4, "ok": true, "status_code": 200}',
+             '{"latency_ms": 5, "ok": null, "status_code": null}', '{"latency_ms": 6, "status_code": [1]}']
+    lines = files.parse_latency(spark.createDataFrame([(t,) for t in texts], "value STRING"))
+    assert sorted(r["latency_ms"] for r in successful(lines).collect()) == [4.0, 5.0]
+    texts = ['{"trust_score": 3.7}', '{"trust_score": null}', '{"trust_score": " 4 "}',
+             '{"trust_score": "3.7"}', '{"trust_score": true}', '{"trust_score": {}}']
+    rows = files.parse_feedback(spark.createDataFrame([(t,) for t in texts], "value STRING")).collect()
+    assert [(r["trust_score"], r["bad"]) for r in rows] == [
+        (3, False), (3, True), (4, False), (3, True), (1, False), (3, True)]
     log = write(tmp_path, "feedback.jsonl", '{"alert_id": "1", "trust_score": 4, "overridden": true}\n'
                                             'oops\n{"alert_id": "2"}\n')
     rows = files.read_feedback(spark, log).collect()
@@ -95,7 +106,7 @@ def test_batch_and_log_files(spark, tmp_path):
 
 
 def test_responses(spark):
-    top = [{"feature": "a", "value": 1, "impact": 0.5}, {"value": 2}]
+    top = [{"feature": "a", "value": "text", "impact": 0.5}, {"value": 2}, "junk", 3, None]
     cases = [
         {"predicted_score": 0.7, "predicted_label": "malicious", "top_features": top, "reason": "r"},
         {"ok": True, "explanation": {"predicted_score": "0.7", "predicted_label": "malicious",
@@ -106,7 +117,7 @@ def test_responses(spark):
     df = spark.createDataFrame([(json.dumps(c),) for c in cases], "value STRING")
     for r in files.read_responses(df).collect():
         assert (r["score"], r["label"], r["reason"]) == (0.7, "malicious", "r")
-        assert [t["feature"] for t in r["top_features"]] == ["a"]
+        assert [tuple(t) for t in r["top_features"]] == [("a", "text", 0.5)]
 
 
 def test_windows_and_lookback():
