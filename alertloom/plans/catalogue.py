@@ -103,7 +103,8 @@ def scan_counters(spark, sf):
 
 
 def incremental_page(spark, sf):
-    return scans.next_page(fixtures.alerts(spark, sf), at(1234), at(86400), 4).select("doc_id")
+    done = (at(1234), chr(0x10FFFF))  # after every document of that instant
+    return scans.next_page(fixtures.alerts(spark, sf), done, at(86400), 4).select("doc_id")
 
 
 def backfill_last_n(spark, sf):
