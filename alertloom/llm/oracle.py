@@ -94,5 +94,77 @@ FROM (SELECT doc_id, {digest('text')} AS text_digest FROM documents) d
 LEFT JOIN known k ON d.text_digest = k.dig LEFT JOIN found f USING (doc_id)"""
 
 
+def _spelling() -> str:
+    # crc32 (reflected polynomial 0xEDB88320) byte by byte over a table of 256 entries.
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    rounds = "SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) t(i)"
+    return rf"""
+WITH RECURSIVE bits AS ({rounds} UNION ALL SELECT i, k + 1, {step} FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hexed AS (SELECT id, run, c, hex(encode(id || ':' || run)) AS hx FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(hx) // 2),
+      lambda b: CAST('0x' || substr(hx, 2 * b + 1, 2) AS BIGINT))),
+    lambda s, b: xor(s >> 8, tab[CAST(xor(s, b) & 255 AS BIGINT) + 1]))) AS h
+  FROM hexed, crc),
+damaged AS (
+  SELECT c, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7
+          GROUP BY word HAVING sum(c) >= 2),
+holes AS (
+  SELECT word, n, substr(word, 1, i) AS head, substr(word, i + 2) AS tail
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM holes a
+    JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.head || a.tail = b.word),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near,
+         CASE WHEN near_n >= 10 * n THEN near END AS form,
+         CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+chain AS (
+  SELECT word, word AS place, 0 AS k FROM words
+  UNION ALL SELECT c.word, b.form, k + 1 FROM chain c JOIN best b ON c.place = b.word AND b.form IS NOT NULL),
+last AS (SELECT word, max_by(place, k) AS root FROM chain GROUP BY word)
+SELECT w.word, b.form, l.root, w.n, coalesce(b.n_near, 0) AS n_near, b.form_n
+FROM words w JOIN last l USING (word) LEFT JOIN best b USING (word)"""
+
+
+def _negatives() -> str:
+    return """
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM vecs a JOIN vecs r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER own AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW own AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER own <= 5"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op1_jaccard": _jaccard(), "op5_decontaminate": _contamination(), "op6_licenses": _licenses()}
+    return {"op1_jaccard": _jaccard(), "op5_decontaminate": _contamination(), "op6_licenses": _licenses(),
+            "op11_spelling": _spelling(), "op12_negatives": _negatives()}

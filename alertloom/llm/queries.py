@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import (
-    chat, decontaminate, jaccard, langid, licenses, lm, mixing, pii, quality, secret,
+    chat, decontaminate, jaccard, langid, licenses, lm, mixing, negatives, pii, quality, secret,
+    spelling, toxicity,
 )
 from alertloom.llm.common import hashed_part, table
 
@@ -75,6 +76,26 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = hashed_part(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf, "labels"))
+    scored = docs.select("doc_id", held_out.alias("held_out"),
+                         toxicity.score(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_language": op2_language,
@@ -86,4 +107,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_negatives": op12_negatives,
+    "op13_toxicity": op13_toxicity,
 }
