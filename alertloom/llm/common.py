@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 __all__ = ["BATCH_ROWS", "WORD", "ascii_lower", "cut_lineage", "free_name", "hashed_part",
-           "scratch", "shared_dir", "table", "tuned"]
+           "scratch", "shared_dir", "stored", "table", "tuned"]
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -51,3 +51,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share."""
     name = re.sub(r"\W", "-", what)
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The frame written once to a table in the shared folder and read again: lineage ends there."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

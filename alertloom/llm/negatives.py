@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import cut_lineage
+from alertloom.llm.common import stored
 
 SCALE, POSITIVES, NEGATIVES = 256, 5, 5
 # A negative may score less than its positive by this part of it, one fifth.
@@ -208,18 +208,20 @@ def mine(rows: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col: str
     """Negatives of every positive of the anchors, the rows whose id ``every`` divides."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut_lineage(
+    blocks = stored(
         whole_vectors(rows, id_col, vec_col, label_col).mapInArrow(_packed(ROW_BLOCK), _BLOCK)
-        .select("ids", "labels", "vectors", "dims").repartition(parts, "ids"))
-    anchors = cut_lineage(whole_vectors(rows.where(F.col(id_col) % every == 0), id_col, vec_col, label_col))
+        .select("ids", "labels", "vectors", "dims").repartition(parts, "ids"), "negatives-blocks")
+    anchors = stored(whole_vectors(rows.where(F.col(id_col) % every == 0), id_col, vec_col, label_col),
+                     "negatives-anchors")
     n, width = anchors.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], OUT)
     chunks, size = -(-n // ANCHOR_BLOCK), n * max(1, width) * 8
     best = W.partitionBy("anchor").orderBy(F.desc("score"), "id")
-    positives = cut_lineage(
+    positives = stored(
         _meet(anchors, blocks, chunks, size, _positives)
-        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= POSITIVES).drop("place"))
+        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= POSITIVES).drop("place"),
+        "negatives-positives")
     scores = positives.groupBy(F.col("anchor").alias("id")).agg(
         F.array_sort(F.collect_set("score")).alias("scores"))
     negatives = _meet(anchors.join(scores, "id"), blocks, chunks, size, _negatives)

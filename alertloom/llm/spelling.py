@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import ascii_lower, cut_lineage
+from alertloom.llm.common import ascii_lower, stored
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]"
 LEAST_LENGTH, LEAST_COUNT, FORM_FACTOR = 7, 2, 10
@@ -124,19 +124,19 @@ def near_pairs(counted: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of a table of texts."""
-    counted = cut_lineage(words(docs, id_col, text_col))
+    counted = stored(words(docs, id_col, text_col), "spelling-words")
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
     told = near_pairs(counted).groupBy("word").agg(
         F.count("*").alias("n_near"), F.max("n").alias("own"), best.alias("best"))
-    judged = cut_lineage(told.select(
-        "word", "n_near", F.when(F.col("best.near_n") >= FORM_FACTOR * F.col("own"), F.col("best")).alias("best")))
+    fits = F.col("best.near_n") >= FORM_FACTOR * F.col("own")
+    judged = stored(told.select("word", "n_near", F.when(fits, F.col("best")).alias("best")), "spelling-best")
     forms = judged.where(F.col("best").isNotNull()).select("word", F.col("best.near").alias("root"))
     for _ in range(DOUBLINGS):
         onward = forms.select(F.col("word").alias("root"), F.col("root").alias("next"))
         joined = forms.join(onward, "root", "left")
         if joined.where(F.col("next").isNotNull()).isEmpty():
             break
-        forms = cut_lineage(joined.select("word", F.coalesce("next", "root").alias("root")))
+        forms = stored(joined.select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
     return (
         counted.join(judged, "word", "left").join(forms, "word", "left")
         .select("word", F.col("best.near").alias("form"), F.coalesce("root", "word").alias("root"), "n",

@@ -4,8 +4,10 @@ The lexicon holds whole words and stems that toxic documents contain far more of
 by likelihood ratio over all training rows, near copies counted once. Every token of a text is turned
 into a Levenshtein automaton and intersected with the lexicon's trie; words that the labels show to be
 clean are left out. Around each hit a window of tokens separates quotation (quotation marks, words of
-reporting) from abuse (second person). The summed evidence of exact, misspelt and quoted hits goes
-through a small logistic model fitted on at most ``FIT_ROWS`` training rows, chosen by hashed text.
+reporting) from abuse (second person). The hits on each entry, and
+the summed evidence of misspelt and quoted hits, go through a logistic model around a prior, fitted on at
+most ``FIT_ROWS`` training rows, chosen by hashed text. The lexicon keeps at most ``MAX_ENTRIES`` entries,
+those that tell the classes apart best.
 
 An entry must occur in ``LEAST_SHARE`` of the toxic training documents, which bounds the lexicon by the
 number of words in a document, whatever the size of the corpus; the same holds for the clean words.
@@ -30,17 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.automaton import Lexicon
-from alertloom.llm.common import cut_lineage
+from alertloom.llm.common import stored
 
 FIT_ROWS = 20_000
 MAX_BROADCAST_LABELS = 1_000_000
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.002, 2.0
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, MAX_ENTRIES = 3, 0.002, 2.0, 500
 STEM_SIZES = range(4, 9)
 EDIT_FACTOR = 0.6
 WINDOW = 6
 CACHE = 300_000
-# Prior of the logistic model: bias, exact, misspelt and quoted evidence; and its strength.
-PRIOR, STRENGTH = np.array([-4.0, 3.0, 3.0, 0.3]), 1.0
+# Prior of the logistic model: bias, misspelt and quoted evidence; an entry's is its log-odds. Strength.
+PRIOR, STRENGTH = (-4.0, 3.0, 0.3), 1.0
 # Words that report speech, words that address someone.
 REPORTING = frozenset(
     "said says wrote writes called calls quote quoted quotes word words term phrase "
@@ -108,41 +110,47 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, keys: int
         counts[c] == counts[k] for c in counts if c != k and c.rstrip("*").startswith(n)
         and len(c.rstrip("*")) == len(n) + 1)}
     words, stems = {}, {}
-    for key in sorted(good, key=lambda k: (len(k.rstrip("*")), k)):
+    best = sorted(good, key=lambda k: (-likelihood_ratio(*counts[k], toxic, clean), k))[:4 * MAX_ENTRIES]
+    for key in sorted(best, key=lambda k: (len(k.rstrip("*")), k)):
         bare = key.rstrip("*")
         if key in longer or any(bare[:n] in stems for n in range(1, len(bare) + 1)):
             continue
         (stems if key.endswith("*") else words)[bare] = good[key]
-    return words, stems
+    kept = {k for k in best if k.rstrip("*") in (stems if k.endswith("*") else words)}
+    kept = set([k for k in best if k in kept][:MAX_ENTRIES])
+    return ({w: v for w, v in words.items() if w in kept}, {w: v for w, v in stems.items() if w + "*" in kept})
 
 
 class Model:
     """Lexicon, known clean words and the weights of the evidence."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset(),
-                 theta: np.ndarray = PRIOR):
-        self.words, self.stems, self.clean, self.theta = words, stems, clean, theta
+                 theta: np.ndarray | None = None):
+        self.words, self.stems, self.clean = words, stems, clean
+        self.prior = np.array([*PRIOR, *words.values(), *stems.values()])
+        self.theta = self.prior if theta is None else theta
+        self._place = {e: k for k, e in enumerate([*words, *stems], len(PRIOR))}
         self._lexicon, self._seen = Lexicon(words, stems), {}
 
     def __reduce__(self):
         return Model, (self.words, self.stems, self.clean, self.theta)
 
-    def match(self, token: str) -> tuple[float, bool] | None:
-        """(weight, misspelt) of the lexicon entry that the token spells best."""
+    def match(self, token: str) -> tuple[float, bool, int] | None:
+        """(weight, misspelt, place of the entry) of the lexicon entry that the token spells best."""
         if token not in self._seen:
             if len(self._seen) >= CACHE:
                 self._seen.clear()
             found = [] if token in self.clean else self._lexicon.near(token)
             self._seen[token] = max(
-                ((w * EDIT_FACTOR ** e, e > 0) for _, w, e in found), default=None)
+                ((w * EDIT_FACTOR ** e, e > 0, self._place[entry]) for entry, w, e in found), default=None)
         return self._seen[token]
 
-    def evidence(self, text: str | None) -> np.ndarray:
-        """1 and the logarithmic sums of exact, misspelt and quoted evidence."""
-        out = np.array([1.0, 0.0, 0.0, 0.0])
+    def evidence(self, text: str | None) -> dict[int, float]:
+        """Logarithmic sums by place: 0 the bias, 1 misspelt, 2 quoted hits, then the entries."""
         low = text.lower() if text else ""
         if not any([self.match(w) for w in set(_TOKEN.findall(low))]):
-            return out
+            return {0: 1.0}
+        out: dict[int, float] = {}
         spans = [m.span() for m in _QUOTED.finditer(low)]
         tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(low)]
         at = 0
@@ -153,12 +161,13 @@ class Model:
                     at += 1
                 inside = at < len(spans) and spans[at][0] < start
                 near = [t for t, _ in tokens[max(0, i - WINDOW):i + WINDOW + 1]]
-                out[3 if quoted(inside, near) else 2 if hit[1] else 1] += hit[0]
-        out[1:] = np.log1p(out[1:])
-        return out
+                place, amount = (2, hit[0]) if quoted(inside, near) else (1, hit[0]) if hit[1] else (hit[2], 1)
+                out[place] = out.get(place, 0) + amount
+        return {0: 1.0} | {k: math.log1p(v) for k, v in out.items()}
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.evidence(text) @ self.theta, -30, 30))))
+        z = sum(self.theta[k] * v for k, v in self.evidence(text).items())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def quoted(inside: bool, near: list[str]) -> bool:
@@ -167,16 +176,16 @@ def quoted(inside: bool, near: list[str]) -> bool:
     return 2 * inside + min(2, reports) - (sum(t in ADDRESSING for t in near) > 0) >= 2
 
 
-def posterior(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def posterior(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Weights of the logistic model around its prior, by Newton steps with halving."""
     def loss(t):
         z = x @ t
-        return np.logaddexp(0, z).sum() - y @ z + STRENGTH / 2 * ((t - PRIOR) ** 2).sum()
+        return np.logaddexp(0, z).sum() - y @ z + STRENGTH / 2 * ((t - prior) ** 2).sum()
 
-    theta = PRIOR.copy()
+    theta = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (p - y) + STRENGTH * (theta - PRIOR)
+        slope = x.T @ (p - y) + STRENGTH * (theta - prior)
         move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + STRENGTH * np.eye(len(theta)), slope)
         size = 1.0
         while size > 1e-6 and loss(theta - size * move) > loss(theta):
@@ -204,10 +213,10 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model:
     """The model of the documents that have a label."""
-    rows = cut_lineage(labelled(docs, labels, id_col, text_col, label_col))
-    table = cut_lineage(
+    rows = stored(labelled(docs, labels, id_col, text_col, label_col), "toxicity-rows")
+    table = stored(
         rows.mapInArrow(_keys, "key string, pos long, neg long")
-        .groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+        .groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity-words")
     total = table.where("key = ''").first()
     if total is None or not total["pos"]:
         return Model({}, {})
@@ -230,13 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.evidence(t).tolist() for t in texts])
+        return pd.Series([shared.value.evidence(t) for t in texts])
 
     evidence.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    sample = (rows.select("h", "toxic", F.pandas_udf(evidence, "array<double>")("text").alias("x"))
-              .orderBy("h", "toxic").limit(FIT_ROWS).collect())
-    return Model(words, stems, model.clean, posterior(
-        np.array([r["x"] for r in sample]), np.array([float(r["toxic"]) for r in sample])))
+    seen_rows = rows.select("h", "toxic", F.pandas_udf(evidence, "map<int,double>")("text").alias("x"))
+    sample = seen_rows.orderBy("h", "toxic").limit(FIT_ROWS).collect()
+    x = np.zeros((len(sample), len(model.prior)))
+    for row, r in zip(x, sample):
+        row[list(r["x"])] = list(r["x"].values())
+    return Model(words, stems, model.clean, posterior(x, np.array([float(r["toxic"]) for r in sample]), model.prior))
 
 
 def score(docs: DataFrame, model: Model, text: Column) -> Column:
