@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alertloom.models.evaluate import average_precision, classification_report, score_quantile
 from alertloom.operators import (
     consistency, dashboard, detect, feedback, filters, latency, policy as pol, rolling,
-    sampling, templates, weaklabel,
+    sampling, template_tree, templates, weaklabel,
 )
 from alertloom.operators.canonical import canonicalize
 from alertloom.operators.explain import findings_documents, rank_features, valid_attributions
@@ -349,6 +349,25 @@ def log_templates(spark, sf):
     return templates.log_templates(_messages(spark, sf))
 
 
+def _all_messages(spark, sf) -> DataFrame:
+    """Messages of alerts, conversations and documents with where they come from."""
+    logs = fixtures.alerts(spark, sf).selectExpr("'alert' AS origin", "doc_id AS key", "full_log AS message")
+    talk = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr(
+        "'conversation' AS origin", "concat(conv_id, ':', turn) AS key", "text AS message")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
+        "'document' AS origin", "cast(doc_id AS STRING) AS key", "text AS message")
+    return logs.unionByName(talk).unionByName(docs)
+
+
+def mined_templates(spark, sf):
+    return template_tree.mined_templates(_all_messages(spark, sf))
+
+
+def message_templates(spark, sf):
+    """The template of every message."""
+    return template_tree.labelled_messages(_all_messages(spark, sf)).select("origin", "key", "template_id")
+
+
 def resampled(spark, sf):
     return sampling.resample(fixtures.alerts(spark, sf).select("doc_id"), 1000)
 
@@ -523,6 +542,8 @@ QUERIES = {
     "tumbling_volume": tumbling_volume,
     "masked_templates": masked_templates,
     "log_templates": log_templates,
+    "mined_templates": mined_templates,
+    "message_templates": message_templates,
     "resample": resampled,
     "shuffle": shuffled,
     "random_pick": random_pick,

@@ -9,6 +9,7 @@ from alertloom.sources import fixtures
 from alertloom.sources.config import default_feature_map, default_policy
 from alertloom.operators.features import feature_names
 from alertloom.operators.dashboard import RAW_LINES, SUMMARY
+from alertloom.operators.template_tree import PLACES, SIMILARITY
 
 NAMES = feature_names(default_feature_map())
 POLICY = default_policy()
@@ -474,6 +475,37 @@ merged AS (
 """
 
 
+def _mined(select: str) -> str:
+    """Templates merged round by round: r<k> holds (template, n), c<k> what round k changes."""
+    parts = [_MASKED.replace(
+        "messages AS (SELECT full_log AS message FROM alerts UNION ALL SELECT text FROM conversations)",
+        "messages AS (SELECT 'alert' AS origin, id AS key, full_log AS message FROM alerts UNION ALL "
+        "SELECT 'conversation', conv_id || ':' || turn, text FROM conversations UNION ALL "
+        "SELECT 'document', CAST(doc_id AS VARCHAR), text FROM documents)").strip(),
+        "r0 AS (SELECT template, n FROM masked)",
+        "l0 AS (SELECT template AS first, template AS now FROM masked)"]
+    for k, places in enumerate(PLACES):
+        a, b = (f"w[{p + 1 if p >= 0 else p}]" for p in places)
+        parts.append(f"""
+e{k} AS (SELECT *, {a} AS a, {b} AS b, len(w) AS l FROM (
+  SELECT template, n, string_split(template, ' ') AS w FROM r{k}) WHERE len(w) > 1),
+h{k} AS (SELECT l, a, b, template AS head, w AS hw FROM e{k} QUALIFY
+  row_number() OVER (PARTITION BY l, a, b ORDER BY n DESC, template) = 1
+  AND count(*) OVER (PARTITION BY l, a, b) > 1),
+d{k} AS (SELECT * FROM (
+  SELECT e.template, h.head, h.hw, e.l,
+         list_filter(range(e.l), lambda i: e.w[i + 1] <> h.hw[i + 1]) AS odd
+  FROM e{k} e JOIN h{k} h USING (l, a, b)) WHERE 100 * (l - len(odd)) >= {SIMILARITY} * l),
+v{k} AS (SELECT head, list(DISTINCT i) AS v FROM (SELECT head, unnest(odd) AS i FROM d{k}) GROUP BY head),
+c{k} AS (SELECT template, array_to_string(list_transform(range(l),
+    lambda i: CASE WHEN list_contains(v, i) THEN '<*>' ELSE hw[i + 1] END), ' ') AS merged
+  FROM d{k} JOIN v{k} USING (head)),
+r{k + 1} AS (SELECT coalesce(merged, template) AS template, sum(n) AS n
+  FROM r{k} LEFT JOIN c{k} USING (template) GROUP BY 1),
+l{k + 1} AS (SELECT first, coalesce(merged, now) AS now FROM l{k} LEFT JOIN c{k} ON now = c{k}.template)""")
+    return _sql(", " + ",\n".join(parts) + "\n" + select.format(last=f"l{len(PLACES)}"), "")
+
+
 def oracle() -> dict[str, str]:
     at = fixtures.EPOCH
     out = {
@@ -623,6 +655,15 @@ def oracle() -> dict[str, str]:
         "log_templates": _sql(
             f", {_MASKED} {_MERGED} SELECT substr(md5(template), 1, 16) AS template_id, template, "
             "CAST(sum(n) AS BIGINT) AS n, count(*) AS variants FROM merged GROUP BY template", ""),
+        "mined_templates": _mined(
+            "SELECT substr(md5(now), 1, 16) AS template_id, now AS template, CAST(sum(n) AS BIGINT) AS n, "
+            "count(*) AS variants FROM {last} JOIN masked ON first = template GROUP BY now"),
+        "message_templates": _mined(
+            "SELECT origin, key, substr(md5(now), 1, 16) AS template_id FROM (SELECT *, "
+            "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, "
+            "'[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+', '<IP>', 'g'), '0x[0-9a-fA-F]+', '<HEX>', 'g'), "
+            "'[0-9]+', '<NUM>', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS first FROM messages) "
+            "LEFT JOIN {last} USING (first)"),
         "parsed_alerts": _sql(
             "SELECT decoder, rule_groups, count(*) AS n, CAST(sum(rule_level) AS BIGINT) AS levels, "
             "count(srcip) AS with_srcip, count(win_code) AS with_event FROM alerts GROUP BY ALL", ""),
