@@ -15,6 +15,7 @@ from alertloom.operators.explain import findings_documents, rank_features, valid
 from alertloom.operators.features import feature_names, project_features
 from alertloom.plans import pipeline, training
 from alertloom.schema import DERIVED_FIELDS
+from alertloom.session import new_path
 from alertloom.sources import fixtures, scans
 from alertloom.sources.config import default_feature_map, default_policy
 
@@ -435,12 +436,9 @@ def model_class_report(spark, sf):
 
 def stream_equals_batch(spark, sf):
     """Streams the alert table into the explanation store and counts documents equal to batch."""
-    import uuid
-
-    from alertloom.session import shared_dir
     from alertloom.streaming.ingest import score_stream
     alerts = fixtures.alerts(spark, sf)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     source = spark.readStream.schema(alerts.schema).parquet(fixtures.alerts_path(spark, sf))
     query = score_stream(source, _stand_in_documents, f"{path}/out", f"{path}/checkpoint",
                          min_level=0)
@@ -452,6 +450,31 @@ def stream_equals_batch(spark, sf):
     return joined.agg(F.count("*").alias("n"), F.count("hit").alias("equal"))
 
 
+def _drained(spark, frame: DataFrame, path: str) -> DataFrame:
+    """All that a stream emits for what its source holds now."""
+    query = (frame.writeStream.format("parquet").option("path", f"{path}/out")
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{path}/out")
+
+
+def stream_rolling_equals(spark, sf):
+    """Rolling counters of the alert stream against the batch counters of the same rows.
+
+    The stream emits the rows of all minutes that its watermark has passed.
+    """
+    from alertloom.streaming.stateful import rolling_stream
+    alerts = fixtures.alerts(spark, sf)
+    source = spark.readStream.schema(alerts.schema).parquet(fixtures.alerts_path(spark, sf))
+    rows = rolling_stream(canonicalize(source, ("doc_id", "event_ts")), delay="0 seconds")
+    streamed = _drained(spark, rows, new_path(spark, "rolling"))
+    batch = rolling.rolling_counters(_canon(spark, sf, ("doc_id", "event_ts"))).where("coalesce(src_ip, '') <> ''")
+    last = batch.agg(F.max(F.expr("unix_micros(event_ts) div 60000000 * 60000000")).alias("m")).select("m").scalar()
+    final = batch.where(F.unix_micros("event_ts") < last).select("doc_id", *rolling.NAMES)
+    joined = final.join(streamed.select("doc_id", *rolling.NAMES, F.lit(1).alias("hit")), ["doc_id", *rolling.NAMES], "left")
+    return joined.agg(F.count("*").alias("n"), F.count("hit").alias("equal"))
+
+
 def _stand_in_documents(alerts: DataFrame) -> DataFrame:
     scored = weaklabel.weak_score(alerts).withColumn("score", F.col("weak_score"))
     return pipeline.explain_with(_decided(scored), POLICY, FMAP)
@@ -551,6 +574,7 @@ QUERIES = {
     "enriched_features": enriched_features,
     "provenance_join": provenance_join,
     "stream_equals_batch": stream_equals_batch,
+    "stream_rolling_equals": stream_rolling_equals,
     "model_split": model_split,
     "forest_score": forest_score,
     "tree_attribution": _explained("tree"),

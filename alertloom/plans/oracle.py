@@ -678,6 +678,9 @@ def oracle() -> dict[str, str]:
             "CAST(sum(points) AS BIGINT) AS points, CAST(sum(length(a.raw)) AS BIGINT) AS raw_chars "
             "FROM weak JOIN alerts a USING (id) GROUP BY 1", "weak"),
         "stream_equals_batch": _sql("SELECT count(*) AS n, count(*) AS equal FROM alerts", ""),
+        "stream_rolling_equals": _sql(
+            "SELECT count(*) AS n, count(*) AS equal FROM alerts WHERE coalesce(srcip, '') <> '' AND floor(ts_s / 60) < "
+            "(SELECT max(floor(ts_s / 60)) FROM alerts WHERE coalesce(srcip, '') <> '')", ""),
         "model_split": _sql(
             ", c AS (SELECT CAST(CASE WHEN points <= 12 THEN 0 ELSE 1 END AS BIGINT) AS label, "
             "count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS held FROM weak "

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint of ``df`` in the shared folder: it survives the loss of executors."""
     spark = df.sparkSession
