@@ -120,6 +120,50 @@ def test_closed_form_equals_brute_force():
         assert all(math.isclose(got[f], v, abs_tol=1e-12) for f, v in expected.items())
 
 
+def test_long_paths_without_tables(monkeypatch):
+    rng = random.Random(3)
+    thresholds = {f: [0.5] for f in range(12)}
+    trees = [[A.Leaf(rng.random(), [(f, *rng.choice([(-1, 0), (0, 1)])) for f in rng.sample(range(12), m)],
+                     [rng.random() for _ in range(m)]) for m in (12, 11, 7, 1)] for _ in range(2)]
+    leaves = A.Leaves(trees, thresholds, [f"f{n}" for n in range(12)])
+    bins = np.array([[rng.randint(0, 1) for _ in range(12)] for _ in range(30)])
+    tabulated = A.evaluate(A.leaf_tables(leaves), bins, 12)
+    monkeypatch.setattr(A, "TABLE_BYTES", 0)
+    plain = A.leaf_tables(leaves)
+    assert not any("table" in t for t in plain)
+    phi = A.evaluate(plain, bins, 12)
+    assert np.allclose(phi, tabulated, atol=1e-12)
+    expected = brute_shapley(leaves, bins[0], None)
+    assert all(math.isclose(phi[0][f], v, abs_tol=1e-12) for f, v in expected.items())
+    for row, got in zip(bins, phi):
+        met = sum(leaf.value for t in trees for leaf in t if all(lo < row[f] <= hi for f, lo, hi in leaf.conditions))
+        assert math.isclose(got.sum() + leaves.expected(), met, abs_tol=1e-12)
+
+
+def test_background_without_tables_and_in_parts(spark, run, scored, monkeypatch):
+    points, weights = run.background
+    want = {r["doc_id"]: r["phi"] for r in A.attribute(scored, run.leaves, points, weights).collect()}
+    monkeypatch.setattr(A, "TABLE_BYTES", 0)
+    monkeypatch.setattr(A, "BROADCAST_BYTES", 3000)
+    got = A.attribute(scored, run.leaves, points, weights)
+    assert all(np.allclose(r["phi"], want[r["doc_id"]], atol=1e-9) for r in got.collect())
+
+
+def test_deep_forest_adds_up(spark, sf):
+    deep = training.train(fixtures.alerts(spark, sf), FMAP, ForestSettings(trees=6, depth=12, min_leaf=1, prototypes=10))
+    assert max(len(leaf.conditions) for t in deep.leaves.trees for leaf in t) > 6
+    features = deep.model.score(training_features(spark, sf))
+    gap = deep.attributed(features).agg(F.max(F.expr(
+        f"abs(aggregate(phi, 0D, (s, x) -> s + x) + {deep.leaves.expected()!r}D - raw_score)")))
+    assert gap.first()[0] < 1e-9
+
+
+def training_features(spark, sf):
+    from alertloom.operators.canonical import canonicalize
+    from alertloom.operators.features import project_features
+    return project_features(canonicalize(fixtures.alerts(spark, sf)), FMAP)
+
+
 def test_packed_keys_round_trip():
     leaves = A.Leaves([], {f: [float(k) for k in range(500)] for f in range(20)},
                       [f"f{n}" for n in range(20)])
