@@ -1,54 +1,58 @@
 """Exact ranks and running totals over a whole table without a global sort in one task.
 
-Values are placed in buckets between splitters taken from the data (approximate percentiles), so
-long tails and infinities fill buckets as evenly as anything else. Totals per bucket give every
-bucket its starting offset; inside a bucket an ordinary window does the rest. The offset table has
-at most ``fan + 1`` rows whatever the size of the input, so it can be broadcast.
+Rows are range partitioned by their order, from a sample of the data, so long tails and infinities fill
+partitions as evenly as anything else. The partitions are written once with their numbers; totals per
+partition give every partition its starting offset, and inside a partition an ordinary window does the
+rest. The offset table has one row per partition whatever the size of the input, so it can be broadcast.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 1024
+from alertloom.session import cut_lineage
 
 
-def _bucketed(df: DataFrame, x: str, fan: int) -> DataFrame:
-    """Adds ``_b``: how many splitters lie at or below the value, found by halving in the row."""
-    points = [k / fan for k in range(1, fan)]
-    cuts = df.agg(F.array_distinct(F.percentile_approx(x, points, 20 * fan)).alias("cuts"))
-    steps = max(1, fan.bit_length())
-    middle = "shiftright(s.lo + s.hi, 1)"
-    span = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_cuts)), (s, i) -> "
-            "CASE WHEN s.lo >= s.hi THEN s "
-            f"WHEN element_at(_cuts, {middle} + 1) <= {x} "
-            f"THEN named_struct('lo', {middle} + 1, 'hi', s.hi) "
-            f"ELSE named_struct('lo', s.lo, 'hi', {middle}) END).lo")
-    return (df.withColumn("_cuts", F.coalesce(cuts.select("cuts").scalar(),
-                                              F.array().cast("array<double>")))
-            .withColumn("_b", F.expr(span)).drop("_cuts"))
+def in_ranges(df: DataFrame, *by: str) -> DataFrame:
+    """Adds ``_b``, the number of a row's range partition in the order of ``by``.
+
+    Range bounds are sampled anew in every run of a plan, so the result is written before it is used.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *by).withColumn("_b", F.spark_partition_id()))
 
 
-def running_totals(df: DataFrame, x: str, measures: list[str], fan: int = FAN) -> DataFrame:
-    """Adds ``cum_<m>``: the sum of ``m`` over all rows with a value of ``x`` up to this one's.
+def running_totals(df: DataFrame, x: str, measures: list[str]) -> DataFrame:
+    """Adds ``cum_<m>``: the sum of ``m`` over all rows with a value of ``x`` up to this one's, and
+    ``all_<m>``: the sum over all rows.
 
-    ``x`` is a DOUBLE without NULL or NaN, and ``df`` holds each value once (aggregate first).
+    ``df`` holds each value of ``x`` once (aggregate first).
     """
-    placed = _bucketed(df, x, fan)
+    placed = in_ranges(df, x)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        .select("_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}")
-                        for m in measures])
-    )
+    totals = placed.groupBy("_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    offsets = totals.select(
+        "_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(Window.partitionBy(F.lit(0))).alias(f"all_{m}") for m in measures])
     inside = Window.partitionBy("_b").orderBy(x).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        placed.join(F.broadcast(offsets), "_b")  # at most ``fan`` rows
+        placed.join(F.broadcast(offsets), "_b")  # one row per partition
         .withColumns({f"cum_{m}": F.col(f"_o_{m}") + F.sum(m).over(inside) for m in measures})
         .drop("_b", *[f"_o_{m}" for m in measures])
     )
 
 
+def row_numbers(df: DataFrame, *by: str, name: str = "row_no") -> DataFrame:
+    """Adds the number of each row, from 1, in the order of ``by``; equal rows in any order."""
+    placed = in_ranges(df, *by)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_b").agg(F.count("*").alias("_c")).select(
+        "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_b").orderBy(*by)
+    return (placed.join(F.broadcast(offsets), "_b")  # one row per partition
+            .withColumn(name, F.col("_o") + F.row_number().over(inside)).drop("_b", "_o"))
+
+
 def order_statistics(df: DataFrame, value: str, ranks: dict[str, str]) -> DataFrame:
     """One row with ``n`` and the exact order statistics at the given 0-based positions.
 
@@ -58,8 +62,7 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, str]) -> DataFr
                .agg(F.count(value).alias("c")).where("c > 0"))  # no rows for NULL
     n = F.col("n")
     return (
-        running_totals(counted, "x", ["c"])
-        .withColumn("n", counted.agg(F.sum("c").alias("n")).select("n").scalar())
+        running_totals(counted, "x", ["c"]).withColumnRenamed("all_c", "n")
         .agg(F.max(n).alias("n"),
              *[F.max(F.when((F.expr(pos) < F.col("cum_c"))
                             & (F.expr(pos) >= F.col("cum_c") - F.col("c")), F.col("x")))

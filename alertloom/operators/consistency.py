@@ -77,21 +77,32 @@ def _own(records: DataFrame) -> DataFrame:
     ).drop("_entries")
 
 
-def _measured(records: DataFrame) -> DataFrame:
-    """One row per (key, block) with everything the report sums up.
+def _with_base(records: DataFrame) -> DataFrame:
+    """Records with ``_names1`` and ``_impacts1`` of their key's first record by (round, number), and
+    ``_first``, that record's place.
 
-    The first record of a key by (round, number) is the base of all its other records. It is found
-    by an aggregation that combines before the shuffle and is then given to each block of the key.
+    The first record of a key lies in its lowest block. A key's records of the first block find it in
+    the window that orders them anyway; only records of later blocks, if there are any, meet a table of
+    their keys' first records, which are found by an aggregation that combines before the shuffle.
     """
-    own = _own(records)
-    base = (
-        own.groupBy("key").agg(
-            F.min_by(F.struct("_names", "_impacts"), "_place").alias("_base"),
-            F.min("_place").alias("_first"),
-            F.collect_set("block").alias("_all"))  # one number per BLOCK rounds
-        .selectExpr("key", "_base._names AS _names1", "_base._impacts AS _impacts1", "_first",
-                    "explode(_all) AS block"))
-    joined = own.join(base, ["key", "block"])
+    own = _own(records.where("key IS NOT NULL AND round IS NOT NULL"))
+    order = Window.partitionBy("key", "block").orderBy("_place")
+    head = F.first(F.struct("_names", "_impacts", "_place")).over(order)
+    near = own.where("block = 0").withColumn("_base", head)
+    far_records = records.where(f"key IS NOT NULL AND (round - 1) div {BLOCK} <> 0")
+    if not far_records.isEmpty():
+        keys = far_records.select("key").distinct()
+        bases = own.join(keys, "key", "left_semi").groupBy("key").agg(
+            F.min_by(F.struct("_names", "_impacts", "_place"), "_place").alias("_base"))
+        # Keys without a record in the first block keep their base from the table, others too.
+        near = near.unionByName(own.where("block <> 0").join(bases, "key"))
+    return near.selectExpr("* EXCEPT (_base)", "_base._names AS _names1", "_base._impacts AS _impacts1",
+                           "_base._place AS _first")
+
+
+def _measured(records: DataFrame) -> DataFrame:
+    """One row per (key, block) with everything the report sums up."""
+    joined = _with_base(records)
     compared = spearman(add(joined, jaccard=jaccard_sql("_names1", "_names")),
                         "_impacts1", "_impacts", "rho")
     order = Window.partitionBy("key", "block").orderBy("_place")

@@ -108,6 +108,10 @@ def incremental_page(spark, sf):
     return scans.next_page(fixtures.alerts(spark, sf), done, at(86400), 4).select("doc_id")
 
 
+def cursor_pages(spark, sf):
+    return scans.cursor_pages(fixtures.alerts(spark, sf), at(1234), 4).select("doc_id", "page", "place")
+
+
 def backfill_last_n(spark, sf):
     return scans.backfill(fixtures.alerts(spark, sf), 500, 6).select("doc_id")
 
@@ -531,6 +535,7 @@ QUERIES = {
     "time_window_scan": time_window_scan,
     "scan_counters": scan_counters,
     "incremental_page": incremental_page,
+    "cursor_pages": cursor_pages,
     "backfill_last_n": backfill_last_n,
     "weak_score": weak_score,
     "weak_label": weak_label,

@@ -548,6 +548,10 @@ def oracle() -> dict[str, str]:
         "incremental_page": _sql(
             f"SELECT id AS doc_id FROM alerts WHERE ts_s > {at + 1234} AND rule_level >= 4 "
             "ORDER BY ts_s, id LIMIT 100", ""),
+        "cursor_pages": _sql(
+            "SELECT id AS doc_id, (row_number() OVER own - 1) // 100 AS page, (row_number() OVER own - 1) % 100 "
+            f"AS place FROM alerts WHERE ts_s >= {at + 1234} AND rule_level >= 4 "
+            "WINDOW own AS (ORDER BY ts_s, id)", ""),
         "backfill_last_n": _sql(
             "SELECT id AS doc_id FROM (SELECT * FROM alerts ORDER BY ts_s DESC, id DESC LIMIT 500) "
             "WHERE rule_level >= 6", ""),
