@@ -140,7 +140,8 @@ class Model:
         if token not in self._seen:
             if len(self._seen) >= CACHE:
                 self._seen.clear()
-            found = [] if token in self.clean else self._lexicon.near(token)
+            skip = not self._lexicon.possible(token) or token in self.clean
+            found = [] if skip else self._lexicon.near(token)
             self._seen[token] = max(
                 ((w * EDIT_FACTOR ** e, e > 0, self._place[entry]) for entry, w, e in found), default=None)
         return self._seen[token]

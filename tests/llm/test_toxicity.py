@@ -33,6 +33,7 @@ def test_automata_find_what_edit_distances_find():
         want |= {(w, d) for w in stems if (d := min(distance(w, token[:k]) for k in range(len(token) + 1)))
                  <= min(edits(w, True), edits(token, False))}
         assert {(e, d) for e, _, d in lexicon.near(token)} == want
+        assert lexicon.possible(token) or not want
 
 
 def prose(rng, n=40):
