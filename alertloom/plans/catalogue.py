@@ -5,7 +5,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.models.bundle import Bundle
 from alertloom.models.evaluate import average_precision, classification_report, score_quantile
+from alertloom.models.forest import ForestSettings
 from alertloom.operators import (
     consistency, dashboard, detect, feedback, filters, latency, policy as pol, rolling,
     sampling, template_tree, templates, weaklabel,
@@ -438,6 +440,34 @@ def model_class_report(spark, sf):
     return trained(spark, sf).evaluation()[2]
 
 
+QUICK = ForestSettings(trees=20, depth=5, min_leaf=20, prototypes=10)
+
+
+def stored_model_equals(spark, sf):
+    """Documents made by a stream with a stored and loaded model, features enriched, against those of a
+    batch with the model that was trained; and how many are equal."""
+    from alertloom.models import bundle
+    from alertloom.streaming.ingest import score_stream
+    alerts, path = fixtures.alerts(spark, sf), new_path(spark, "stored")
+    run = training.train(alerts, FMAP, QUICK, enrich=True)
+    run.packed().save(f"{path}/model", 1)
+    loaded = bundle.load(spark, f"{path}/model")
+    source = spark.readStream.schema(alerts.schema).parquet(fixtures.alerts_path(spark, sf))
+    score_stream(source, lambda batch: training.explain(batch, loaded, POLICY), f"{path}/out",
+                 f"{path}/checkpoint", min_level=0).awaitTermination()
+    key = ["doc_id", "predicted_score", "predicted_label", "tag", "reason", "recommendation"]
+    streamed = spark.read.parquet(f"{path}/out/explanations").select(*key, F.lit(1).alias("hit"))
+    joined = training.explain(alerts, run, POLICY).select(*key).join(streamed, key, "left")
+    return joined.agg(F.count("*").alias("n"), F.count("hit").alias("equal"))
+
+
+def model_less(spark, sf):
+    """Explanations without a model: one half for everyone, judged by each source's threshold."""
+    docs = training.explain(fixtures.alerts(spark, sf), Bundle(FMAP), POLICY)
+    return docs.selectExpr("doc_id", "predicted_score", "predicted_label", "reason",
+                           "cast(size(top_features) AS BIGINT) AS top")
+
+
 def stream_equals_batch(spark, sf):
     """Streams the alert table into the explanation store and counts documents equal to batch."""
     from alertloom.streaming.ingest import score_stream
@@ -479,6 +509,22 @@ def stream_rolling_equals(spark, sf):
     return joined.agg(F.count("*").alias("n"), F.count("hit").alias("equal"))
 
 
+def stream_counters(spark, sf):
+    """Fates of the rows of a stream: all alerts, then every seventh again, some of them late, some
+    texts that are no alerts."""
+    from alertloom.streaming.ingest import alert_stream, run_counters, score_stream
+    path = new_path(spark, "counted")
+    alerts = fixtures.alerts(spark, sf).selectExpr(
+        "doc_id", """concat('{"timestamp": "', timestamp, '", ', substring(raw, 2)) AS raw""")
+    again = alerts.where("cast(doc_id AS BIGINT) % 7 = 0").select("raw")
+    broken = alerts.where("cast(doc_id AS BIGINT) % 100 = 0").select(F.concat(F.lit("cut off "), "raw").alias("raw"))
+    for rows in (alerts.select("raw"), again.unionByName(broken)):
+        rows.select(F.col("raw").alias("value")).write.mode("append").text(f"{path}/in")
+        score_stream(alert_stream(spark, f"{path}/in"), _stand_in_documents, f"{path}/out", f"{path}/checkpoint",
+                     min_level=4, dump_only=True).awaitTermination()
+    return run_counters(spark, f"{path}/out")
+
+
 def _stand_in_documents(alerts: DataFrame) -> DataFrame:
     scored = weaklabel.weak_score(alerts).withColumn("score", F.col("weak_score"))
     return pipeline.explain_with(_decided(scored), POLICY, FMAP)
@@ -580,6 +626,9 @@ QUERIES = {
     "provenance_join": provenance_join,
     "stream_equals_batch": stream_equals_batch,
     "stream_rolling_equals": stream_rolling_equals,
+    "stream_counters": stream_counters,
+    "stored_model_equals": stored_model_equals,
+    "model_less": model_less,
     "model_split": model_split,
     "forest_score": forest_score,
     "tree_attribution": _explained("tree"),

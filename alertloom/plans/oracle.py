@@ -685,6 +685,20 @@ def oracle() -> dict[str, str]:
         "stream_rolling_equals": _sql(
             "SELECT count(*) AS n, count(*) AS equal FROM alerts WHERE coalesce(srcip, '') <> '' AND floor(ts_s / 60) < "
             "(SELECT max(floor(ts_s / 60)) FROM alerts WHERE coalesce(srcip, '') <> '')", ""),
+        "stored_model_equals": _sql("SELECT count(*) AS n, count(*) AS equal FROM alerts", ""),
+        "model_less": _sql(
+            "SELECT id AS doc_id, CAST(0.5 AS DOUBLE) AS predicted_score, CASE WHEN 0.5 >= threshold THEN "
+            "'malicious' ELSE 'benign' END AS predicted_label, 'Model score only' AS reason, "
+            "CAST(0 AS BIGINT) AS top FROM tagged", "tagged"),
+        "stream_counters": _sql(
+            ", latest AS (SELECT max(ts_s) - 2400 AS since FROM alerts), fates AS ("
+            "SELECT CASE WHEN rule_level >= 4 THEN 'written' ELSE 'below' END AS fate FROM alerts UNION ALL "
+            "SELECT CASE WHEN ts_s < since THEN 'late' WHEN rule_level < 4 THEN 'below' ELSE 'repeated' END "
+            "FROM alerts, latest WHERE CAST(id AS BIGINT) % 7 = 0 UNION ALL "
+            "SELECT 'bad' FROM alerts WHERE CAST(id AS BIGINT) % 100 = 0) "
+            "SELECT CAST(2 AS BIGINT) AS batches, count(*) AS total, " + ", ".join(
+                f"count(*) FILTER (WHERE fate = '{f}') AS {f}"
+                for f in ("bad", "late", "below", "repeated", "written")) + " FROM fates", ""),
         "model_split": _sql(
             ", c AS (SELECT CAST(CASE WHEN points <= 12 THEN 0 ELSE 1 END AS BIGINT) AS label, "
             "count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS held FROM weak "

@@ -24,10 +24,11 @@ def feature_rows(alerts: DataFrame, feature_map: dict | None, keep: tuple[str, .
     return project_features(canon, feature_map, keep)
 
 
-def training_rows(alerts: DataFrame, feature_map: dict | None, enrich: bool = False) -> DataFrame:
+def training_rows(alerts: DataFrame, feature_map: dict | None, enrich: bool = False,
+                  also: tuple[str, ...] = ()) -> DataFrame:
     """Feature columns with weak label and weight, one row per alert."""
     labelled = weak_label(weak_score(alerts))
-    keep = ("doc_id", "label", "weight")
+    keep = ("doc_id", "label", "weight", *also)
     return feature_rows(labelled, feature_map, keep, enrich)
 
 

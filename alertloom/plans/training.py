@@ -1,35 +1,38 @@
 """Training as one plan, and explanation with the trained model."""
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.models.attribution import Leaves, attribute, importance_array_sql, leaves_of
+from alertloom.models.attribution import Leaves, leaves_of
+from alertloom.models.bundle import Bundle
 from alertloom.models.evaluate import average_precision, classification_report, score_quantile
 from alertloom.models.forest import AlertModel, ForestSettings, fit, fit_prototypes
 from alertloom.models.split import stratified_split
 from alertloom.operators.canonical import canonicalize
-from alertloom.operators.features import feature_names, project_features
+from alertloom.operators.features import feature_names, fill_enriched, project_features
 from alertloom.operators.policy import apply_policy
+from alertloom.operators.rolling import rolling_counters
 from alertloom.plans import pipeline
-from alertloom.session import cut_lineage
+from alertloom.session import new_path
 
 
 @dataclass
 class Trained:
     model: AlertModel
-    parts: DataFrame        # feature rows with label, weight and part, checkpointed
+    parts: DataFrame        # feature rows with label, weight and part, in the shared folder
     settings: ForestSettings
-    _leaves: Leaves | None = None
+    feature_map: dict | None = None
+    enrich: bool = False
+    bad_rows: int = 0       # rows of the input that were no alerts
+    _bundle: Bundle | None = None
     _background: tuple | None = None
 
     @property
     def leaves(self) -> Leaves:
-        if self._leaves is None:
-            self._leaves = leaves_of(self.model.forest, self.model.names)
-        return self._leaves
+        return self.bundle.leaves
 
     def prototypes(self) -> DataFrame:
         return fit_prototypes(self.parts.where("part = 'train'"), self.model.names, self.settings)
@@ -43,21 +46,25 @@ class Trained:
             self._background = rows.to_numpy(), weights
         return self._background
 
+    @property
+    def bundle(self) -> Bundle:
+        """The model with its leaves, without prototypes, which cost a clustering."""
+        if self._bundle is None:
+            self._bundle = Bundle(self.feature_map, self.model, self.enrich,
+                                  leaves_of(self.model.forest, self.model.names), None, asdict(self.settings))
+        return self._bundle
+
+    def packed(self) -> Bundle:
+        """The whole bundle, prototypes included."""
+        return replace(self.bundle, background=self.background)
+
+    def score(self, features: DataFrame) -> DataFrame:
+        return self.model.score(features)
+
     def attributed(self, decided: DataFrame, method: str = "tree") -> DataFrame:
         """Adds ``phi``. Background attribution is limited to rows the policy grants it; the
         others, and the ``importances`` method, show the forest's global importances."""
-        if method == "tree":
-            return attribute(decided, self.leaves)
-        if method == "background":
-            own = attribute(decided, self.leaves, *self.background, only=F.col("do_shap"),
-                            name="_phi")
-            return own.withColumn("phi", F.coalesce(
-                "_phi", F.expr(importance_array_sql(self.model.forest)))).drop("_phi")
-        if method == "importances":
-            return decided.withColumn("phi", F.expr(importance_array_sql(self.model.forest)))
-        if method == "none":
-            return decided.withColumn("phi", F.expr("cast(NULL AS array<double>)"))
-        raise ValueError(f"unknown attribution method: {method}")
+        return (self.packed() if method == "background" else self.bundle).attributed(decided, method)
 
     def test_scores(self) -> DataFrame:
         return self.model.score(self.parts.where("part = 'test'"))
@@ -69,27 +76,44 @@ class Trained:
         return (average_precision(scored), score_quantile(scored), classification_report(predicted))
 
 
-def train(alerts: DataFrame, feature_map: dict | None,
-          settings: ForestSettings = ForestSettings(), enrich: bool = False) -> Trained:
-    rows = pipeline.training_rows(alerts, feature_map, enrich)
-    # Read once per tree level by the learner and again by calibration: cut the lineage here.
-    parts = cut_lineage(stratified_split(rows, seed=settings.seed))
-    return Trained(fit(parts, feature_names(feature_map), settings), parts, settings)
-
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """The frame as a table in the shared folder, made once."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-def explain(alerts: DataFrame, trained: Trained, policy: dict, feature_map: dict | None,
-            method: str = "tree", requested_k: int | None = None,
-            alert: tuple[str, ...] = ()) -> DataFrame:
-    """Alerts to explanation documents with the trained model.
 
-    Overrides see the features and whatever else of the canonical row they mention.
+def train(alerts: DataFrame, feature_map: dict | None,
+          settings: ForestSettings = ForestSettings(), enrich: bool = False) -> Trained:
+    """Fits the model. Rows marked ``bad`` teach nothing; they are counted in the written feature rows, so
+    the input is read once."""
+    marked = "bad" in alerts.columns
+    rows = _written(pipeline.training_rows(alerts, feature_map, enrich, ("bad",) if marked else ()), "training-rows")
+    bad = rows.where("bad").count() if marked else 0
+    if marked:
+        rows = rows.where("NOT bad").drop("bad")
+    # Read once per tree level by the learner and again by calibration.
+    parts = _written(stratified_split(rows, seed=settings.seed), "training-parts")
+    return Trained(fit(parts, feature_names(feature_map), settings), parts, settings, feature_map, enrich, bad)
+
+
+def explain(alerts: DataFrame, explainer: Trained | Bundle, policy: dict, feature_map: dict | None = None,
+            method: str | None = None, requested_k: int | None = None,
+            alert: tuple[str, ...] = (), mode: str = "intended") -> DataFrame:
+    """Alerts to explanation documents, with a trained model, a stored bundle, or a bundle without one.
+
+    Features are made, and enriched, as they were for training. Overrides see the features and whatever
+    else of the canonical row they mention. ``feature_map`` is only needed where the explainer has none.
     """
+    feature_map = explainer.feature_map or feature_map
     names, keep = feature_names(feature_map), ("doc_id", "timestamp", *alert)
-    canon = canonicalize(alerts, keep)
+    canon = canonicalize(alerts, (*keep, *(["event_ts"] if explainer.enrich else [])))
+    if explainer.enrich:
+        canon = fill_enriched(rolling_counters(canon))
     mentioned = {name for o in policy.get("overrides") or [] for name in o.get("when", {})}
     context = tuple(sorted((mentioned & set(canon.columns)) - set(names) - set(keep)))
     features = project_features(canon, feature_map, (*keep, "policy_source", *context))
-    decided = apply_policy(trained.model.score(features), policy, "score",
+    decided = apply_policy(explainer.score(features), policy, "score", mode=mode,
                            columns={*names, *context})
-    return pipeline.explain_with(trained.attributed(decided, method), policy, feature_map,
-                                 requested_k, alert=alert)
+    phi = explainer.attributed(decided, method) if method else explainer.attributed(decided)
+    return pipeline.explain_with(phi, policy, feature_map, requested_k, alert=alert)

@@ -23,8 +23,9 @@ def test_stream_equals_batch_and_quarantines(spark, sf, tmp_path):
         return query
 
     query = run()
-    counters = ingest.run_counters(query)
-    assert counters["batches"] >= 2 and counters["rows"] == 1002
+    counters = ingest.run_counters(spark, out).first()
+    assert counters["batches"] >= 2 and counters["total"] == 1002
+    assert (counters["written"], counters["bad"], counters["late"], counters["repeated"]) == (1000, 2, 0, 0)
     columns = ["doc_id", "predicted_score", "tag", "reason"]
     batch = _stand_in_documents(usable(parse_alerts(raw))).select(columns)
 
