@@ -12,7 +12,7 @@ import numpy as np
 HIDDEN, EMBED, CLASSES, PER_CLASS = 24, 24, 64, 64
 SYMBOLS = CLASSES * PER_CLASS
 WINDOW = 32
-TRAIN_LANES, SCORE_LANES = 24, 512
+TRAIN_LANES, SCORE_LANES = 64, 512
 RATE, CLIP = 0.01, 1.0
 SHAPES = {
     "E": (SYMBOLS, EMBED), "Wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "U": (HIDDEN, 2 * HIDDEN),

@@ -2,19 +2,23 @@
 
 Token counts cover every training document. The recurrent model knows the ``gru.SYMBOLS - 2`` most
 frequent words; the others share one symbol and, below it, their own frequencies, so that every text
-has a chance under the model. Training runs in ``ROUNDS`` rounds: each partition trains a replica on
-its part of a hashed slice of the training documents, and the replicas are averaged by their number
-of tokens. A slice is a fixed share of the documents, so training grows with the corpus.
+has a chance under the model. It learns from every training document once, in ``ROUNDS`` rounds over
+hashed parts of them: in a round, replicas of about ``REPLICA_TOKENS`` tokens each are trained, and
+averaged by their number of tokens, in groups of ``GROUP`` until one is left. Documents are dealt to
+rounds and replicas by hashed id and text and stand there in a fixed order, so the model does not depend
+on how the table is partitioned.
 
 Words beyond ``HEAD`` are looked up by a join, so the broadcast stays bounded whatever the vocabulary.
 
 Defined results: null and empty texts are the end token alone; repeated rows are scored each by
 itself; without training documents all counts are 0 and the model gives each symbol the same chance;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored. Texts of any length are read whole;
+one text must fit a task's memory.
 """
 
 import math
 from collections import Counter
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -24,29 +28,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import gru
-from alertloom.llm.common import ascii_lower, cut_lineage
+from alertloom.llm.common import ascii_lower, cut_lineage, stored
 
 END = "\n"  # no word holds white space
 HEAD = 1 << 15  # most frequent words whose counts every worker holds
-ROUNDS, SLICES = 3, 24
+ROUNDS, REPLICA_TOKENS, GROUP = 3, 1_000_000, 64
 BUFFER_TOKENS = 4_000_000  # symbols that a worker scores at a time
 CHUNK = 4096  # parameters in one row of a replica
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 class Corpus(NamedTuple):
-    """Frequent tokens with their counts, and the sums over all tokens."""
+    """Frequent words by place in order of frequency, their counts, and the sums over all tokens."""
 
-    counts: dict[bytes, int]
-    ids: dict[bytes, int]
+    places: dict[bytes, int]
+    counts: np.ndarray
+    ends: int
     n: int
     v: int
     rest_n: int
     rest_v: int
 
-    def base(self, c: int) -> float:
-        return math.log10(c + 0.5)
-
 
 UNKNOWN, LAST = 0, 1  # symbols of all other words and of the end
 
@@ -60,89 +62,114 @@ def token_counts(train: DataFrame, text_col: str) -> DataFrame:
 
 
 def corpus_of(counts: DataFrame) -> Corpus:
-    """The bounded head of the counts: all words at least as frequent as a cut that HEAD words reach."""
+    """The bounded head of the counts, the HEAD most frequent words, and the sums over all."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
-    cut, held = None, 0
-    for row in sizes.collect():
-        if held + row["words"] > HEAD:
-            break
-        cut, held = row["n"], held + row["words"]
-    rows = [] if cut is None else counts.where((F.col("n") >= cut) & (F.col("word") != END)).collect()
-    rows.sort(key=lambda r: (-r["n"], r["word"]))
-    known = {r["word"].encode(): r["n"] for r in rows}
     ends = counts.where(F.col("word") == END).first()
-    ids = {w: k + 2 for k, w in enumerate(list(known)[:gru.SYMBOLS - 2])}
-    n, v = total["n"] or 0, total["v"]
-    known[END.encode()] = ends["n"] if ends else 0
-    modelled = sum(known[w] for w in ids) + known[END.encode()]
-    return Corpus(known, ids, n, v, n - modelled, v - len(ids) - (1 if ends else 0))
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    known = {r["word"].encode(): k for k, r in enumerate(top)}
+    found = np.array([r["n"] for r in top], dtype=np.int64)
+    n, v, end = total["n"] or 0, total["v"], ends["n"] if ends else 0
+    modelled = found[:gru.SYMBOLS - 2]
+    return Corpus(known, found, end, n, v, n - int(modelled.sum()) - end, v - len(modelled) - (1 if ends else 0))
+
+
+def places(words: list[bytes], corpus: Corpus) -> np.ndarray:
+    """The place of each word, -1 for those beyond the head."""
+    get = corpus.places.get
+    return np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
 
 
-def symbols(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    get = ids.get
-    out = np.fromiter((get(w, UNKNOWN) for w in words), dtype=np.int32, count=len(words))
-    return np.append(out, np.int32(LAST))
+def symbols(at: np.ndarray) -> np.ndarray:
+    """Symbols of words by their places, and the end."""
+    known = (at >= 0) & (at < gru.SYMBOLS - 2)
+    return np.append(np.where(known, at + 2, UNKNOWN), LAST).astype(np.int32)
 
 
 # Classes hold symbols in order of frequency, so the two special symbols stand first.
 def first_params(corpus: Corpus) -> gru.Params:
     counts = np.zeros(gru.SYMBOLS)
-    counts[UNKNOWN], counts[LAST] = corpus.rest_n, corpus.counts[END.encode()]
-    for word, k in corpus.ids.items():
-        counts[k] = corpus.counts[word]
+    counts[UNKNOWN], counts[LAST] = corpus.rest_n, corpus.ends
+    modelled = corpus.counts[:gru.SYMBOLS - 2]
+    counts[2:2 + len(modelled)] = modelled
     return gru.initial(counts)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, corpus: Corpus, rounds: int = ROUNDS,
-          slices: int = SLICES) -> gru.Params:
-    """Parameters after the rounds of replica training and averaging."""
-    context = docs.sparkSession.sparkContext
+def train(docs: DataFrame, id_col: str, text_col: str, known, rounds: int = ROUNDS,
+          replica_tokens: int = REPLICA_TOKENS) -> gru.Params:
+    """Parameters after the rounds of replica training and averaging; ``known`` is a broadcast corpus."""
+    spark = docs.sparkSession
+    corpus = known.value
     params = first_params(corpus)
-    ids = context.broadcast(corpus.ids)
-    part = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(slices))
+    if not corpus.n:
+        return params
+    replicas = max(1, round(corpus.n / rounds / replica_tokens))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    h = F.xxhash64(F.col(id_col), text)
+    coded = stored(
+        docs.select(h.alias("h"), text.alias("text")).mapInArrow(_coded(known), "h long, symbols binary")
+        .select(F.pmod("h", F.lit(rounds)).cast("int").alias("round"),
+                F.pmod(F.shiftright("h", 20), F.lit(replicas)).alias("replica"), "h", "symbols"), "lm-symbols")
     for k in range(rounds):
-        rows = docs.where(part == k % slices).select(F.col(text_col).cast("binary").alias("text"))
-        shared = context.broadcast(gru.flat(params))
-        replicas = rows.mapInArrow(_replica(shared, ids), "chunk int, salt int, weight double, vec array<float>")
-        # Two levels of sums, so that no task sees all replicas of a large corpus.
-        once = replicas.groupBy("chunk", "salt").applyInPandas(_weighted_sum, replicas.schema)
-        sums = once.withColumn("salt", F.lit(0)).groupBy("chunk", "salt").applyInPandas(
-            _weighted_sum, replicas.schema).collect()
+        rows = coded.where(F.col("round") == k).drop("round")
+        shared = spark.sparkContext.broadcast(gru.flat(params))
+        vectors = (rows.repartitionByRange(min(replicas, 4096), "replica")
+                   .sortWithinPartitions("replica", "h", "symbols")
+                   .mapInArrow(_replica(shared), "chunk int, replica long, weight double, vec array<float>"))
+        left = replicas
+        while True:
+            left = -(-left // GROUP)
+            vectors = (vectors.withColumn("group", F.expr(f"replica div {GROUP}")).groupBy("chunk", "group")
+                       .applyInPandas(_weighted_sum, "chunk int, replica long, weight double, vec array<float>"))
+            if left == 1:
+                break
+        sums = sorted(vectors.collect(), key=lambda r: r["chunk"])
         shared.unpersist()
         if sums and sums[0]["weight"] > 0:
-            sums.sort(key=lambda r: r["chunk"])
             params = gru.unflat(np.concatenate(
                 [np.array(r["vec"], dtype=np.float64) / r["weight"] for r in sums]))
     return params
 
 
-def _replica(shared, ids):
+def _coded(known):
     def run(batches):
-        trainer, seen, held, size = gru.Trainer(gru.unflat(shared.value)), 0, [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(symbols((text or b"").lower().split(), ids.value))
+            coded = [symbols(places(t.lower().split(), known.value)).astype(np.int16).tobytes()
+                     for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(coded, pa.binary())], ["h", "symbols"])
+    return run
+
+
+def _replica(shared):
+    """Trained parameters of each replica, whose rows stand together, in chunks times tokens seen."""
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def run(batches):
+        for replica, own in groupby(rows(batches), key=lambda r: r[0]):
+            trainer, seen, held, size = gru.Trainer(gru.unflat(shared.value)), 0, [], 0
+            for _, _, coded in own:
+                held.append(np.frombuffer(coded, dtype=np.int16).astype(np.int32))
                 size += len(held[-1])
                 if size > BUFFER_TOKENS:
                     seen += trainer.learn(held, LAST)
                     held, size = [], 0
-        seen += trainer.learn(held, LAST)
-        if seen:
+            seen += trainer.learn(held, LAST)
             vector = gru.flat(trainer.p)
             chunks = [vector[a:a + CHUNK] * np.float32(seen) for a in range(0, len(vector), CHUNK)]
             n = len(chunks)
-            salt = int(np.abs(vector[:8]).sum() * 1e6) % 64
             yield pa.record_batch(
-                [pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()),
+                [pa.array(range(n), pa.int32()), pa.array([replica] * n, pa.int64()),
                  pa.array([float(seen)] * n), pa.array(chunks, pa.list_(pa.float32()))],
-                ["chunk", "salt", "weight", "vec"])
+                ["chunk", "replica", "weight", "vec"])
     return run
 
 
 def _weighted_sum(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of at most GROUP chunks, in a fixed order."""
+    rows = rows.sort_values("replica")
     total = np.sum(np.stack(rows["vec"].to_list()).astype(np.float64), axis=0)
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [rows["salt"].iloc[0]],
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "replica": [rows["group"].iloc[0]],
                          "weight": [rows["weight"].sum()], "vec": [total.astype(np.float32)]})
 
 
@@ -152,55 +179,49 @@ PARTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_part
 
 def _scorer(shared, known):
     def run(batches):
-        held: list[tuple] = []
-        size = 0
-        params = gru.unflat(shared.value)
+        params, corpus, held, size = gru.unflat(shared.value), known.value, [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = (row[2] or b"").lower().split()
-                held.append((row[0], row[1], words, symbols(words, known.value.ids)))
+            for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = (text or b"").lower().split()
+                at = places(words, corpus)
+                held.append((doc, out, at, Counter([words[k] for k in np.flatnonzero(at < 0)])))
                 size += len(words) + 1
                 if size > BUFFER_TOKENS:
-                    yield _scored(params, known.value, held)
+                    yield _scored(params, corpus, held)
                     held, size = [], 0
         if held:
-            yield _scored(params, known.value, held)
+            yield _scored(params, corpus, held)
     return run
 
 
 def _scored(params, corpus: Corpus, held: list[tuple]) -> pa.RecordBatch:
     """Sums over the tokens that the worker knows; the others are handed on with their numbers."""
-    model = gru.score(params, [h[3] for h in held], LAST)
+    docs, out, at, rare = zip(*held)
+    model = gru.score(params, [symbols(a) for a in at], LAST)
+    sizes = np.array([len(a) for a in at])
+    flat, which = np.concatenate(at), np.repeat(np.arange(len(at)), sizes)
+    # The last place, -1, stands for the words beyond the head: nothing is added for them here.
+    logs = np.append(np.log10(corpus.counts + 0.5), 0.0)[flat]
+    unknown = (flat < 0) | (flat >= gru.SYMBOLS - 2)
+    sums = lambda weights: np.bincount(which, weights, len(at))
     rest = math.log10(corpus.rest_n + 0.5 * (corpus.rest_v + 1))
-    end = corpus.counts[END.encode()]
-    logs = {w: math.log10(c + 0.5) for w, c in corpus.counts.items()}
-    cols: list[list] = [[], [], [], [], [], []]
-    flat_words, flat_n, offsets = [], [], [0]
-    for (doc, out, words, coded), score in zip(held, model):
-        rare = Counter([w for w in words if w not in logs])
-        known = len(words) - rare.total()
-        base = sum(map(logs.__getitem__, (w for w in words if w in logs))) + logs[END.encode()]
-        # Words that share the unknown symbol add their chance among the rest.
-        shared_words = coded[:-1] == UNKNOWN
-        extra = sum(logs.get(words[k], 0.0) for k in np.flatnonzero(shared_words))
-        for col, value in zip(cols, (doc, out, len(words) + 1, known + (end > 0), base,
-                                     score + extra - rest * int(shared_words.sum()))):
-            col.append(value)
-        flat_words += rare.keys()
-        flat_n += rare.values()
-        offsets.append(len(flat_words))
+    # Words that share the unknown symbol add their chance among the rest.
+    score = model + sums(np.where(unknown, logs - rest, 0.0))
+    flat_words = [w for r in rare for w in r]
     pairs = pa.StructArray.from_arrays(
-        [pa.array(flat_words, pa.binary()).cast(pa.string()), pa.array(flat_n, pa.int32())],
-        ["word", "n"])
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        [pa.array(flat_words, pa.binary()).cast(pa.string()),
+         pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "n"])
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])])
     return pa.record_batch(
-        [pa.array(c, k) for c, k in zip(cols, kinds)]
-        + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+        [pa.array(docs, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes + 1, pa.int64()),
+         pa.array(sums(flat >= 0).astype(np.int64) + (corpus.ends > 0)),
+         pa.array(sums(logs) + math.log10(corpus.ends + 0.5)), pa.array(score),
+         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
         [field.split()[0] for field in PARTS.split(", ")[:6]] + ["rare"])
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-          rounds: int = ROUNDS, slices: int = SLICES) -> DataFrame:
+          rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     Rows where ``held_out`` is false are the training documents.
@@ -211,8 +232,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     train_docs = marked.where(~F.col("held_out"))
     counts = cut_lineage(token_counts(train_docs, "text"))
     corpus = corpus_of(counts)
-    params = train(train_docs, "doc_id", "text", corpus, rounds, slices)
-    shared, known = context.broadcast(gru.flat(params)), context.broadcast(corpus)
+    known = context.broadcast(corpus)
+    shared = context.broadcast(gru.flat(train(train_docs, "doc_id", "text", known, rounds, replica_tokens)))
     parts = cut_lineage(
         marked.withColumn("text", F.col("text").cast("binary"))
         .mapInArrow(_scorer(shared, known), PARTS)

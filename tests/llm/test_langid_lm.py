@@ -104,7 +104,7 @@ def test_language_model_scores(table, monkeypatch, head):
     rows += [(400, None), (401, ""), (402, "Never seen WORDS \xa0here"), (403, "the of " * 3000),
              (403, "the of " * 3000)]
     docs = table(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
-    out = lm.score(docs, hashed_part(F.col("doc_id"), 5) == 1, slices=2).collect()
+    out = lm.score(docs, hashed_part(F.col("doc_id"), 5) == 1).collect()
     assert len(out) == len(rows)
     tokens = lambda text: [*(text or "").encode().lower().split(), None]
     counts = Counter(t for k, text in rows if zlib.crc32(str(k).encode()) % 5 != 1 for t in tokens(text))
@@ -121,6 +121,46 @@ def test_language_model_scores(table, monkeypatch, head):
     assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
 
 
+def test_language_model_does_not_depend_on_partitions(spark, table, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 2)  # several levels of sums
+    rng = random.Random(8)
+    rows = [(k, sentences(rng.choice(list(ALPHABETS)), rng.randint(1, 60), rng)) for k in range(200)]
+    held = hashed_part(F.col("doc_id"), 5) == 1
+    scores = []
+    for parts in (1, 7):
+        out = lm.score(table(rows, "doc_id long, text string", parts), held, replica_tokens=400)
+        scores.append({r.doc_id: r.score for r in out.collect()})
+    assert all(scores[0][k] == pytest.approx(scores[1][k], rel=1e-5) for k in scores[0])
+
+
+def test_language_model_learns_from_every_training_document(table, monkeypatch):
+    seen = Counter()
+    learn = gru.Trainer.learn
+    rows = [(k, f"w{k} the of the") for k in range(90)]
+    docs = table(rows, "doc_id long, text string")
+    held = hashed_part(F.col("doc_id"), 5) == 1
+    counts = lm.corpus_of(lm.token_counts(docs.where(~held), "text"))
+    monkeypatch.setattr(gru.Trainer, "learn", lambda self, docs, end: seen.update(int(d[0]) for d in docs) or learn(self, docs, end))
+
+    class Known:
+        value = counts
+    coded = list(lm._coded(Known)([docs.where(~held).selectExpr("xxhash64(doc_id) AS h", "cast(text AS BINARY) AS t")
+                                   .toArrow().combine_chunks().to_batches()[0]]))
+    vector = gru.flat(lm.first_params(counts))
+
+    class Shared:
+        value = vector
+    rows_of = [type("B", (), {"columns": [c.column(0), c.column(0), c.column(1)]}) for c in coded]
+    list(lm._replica(Shared)(rows_of))
+    assert sum(seen.values()) == docs.where(~held).count()
+
+
+def test_language_model_beats_word_frequencies_on_held_out_documents(spark, sf):
+    from alertloom.llm import queries
+    got = [r for r in queries.op4_language_model(spark, sf).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) * 1.0
+
+
 def test_language_model_of_nothing(table):
     schema = "doc_id long, text string"
     assert lm.score(table([], schema, 1), F.lit(False)).collect() == []
