@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import ascii_lower, cut_lineage
+from alertloom.llm.common import ascii_lower, cut_lineage, free_name
 
 WINDOW = 13
 SHINGLE = 4
@@ -172,7 +172,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated; columns as they came."""
-    bad = (contamination(docs, items, id_col, text_col).where("contaminated")
-           .select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(text_col) == F.col("bad_hash")), "left_anti")
+    bad_id, bad_hash = free_name(docs, "bad_id"), free_name(docs, "bad_hash")
+    plain = docs.select(F.col(id_col), F.col(text_col))
+    bad = (contamination(plain, items, id_col, text_col).where("contaminated")
+           .select(F.col(id_col).alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id))
+                     & (F.xxhash64(text_col) == F.col(bad_hash)), "left_anti")

@@ -30,10 +30,13 @@ SALT = 256  # parts into which the documents of a cell are split for ranking
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
-    """(id, source, size): words of every text."""
-    words = F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long")
+    """(id, source, size, text_hash): words of every text."""
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       F.coalesce(words, F.lit(0)).alias("size"))
+                       _size_of(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def _size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -81,7 +84,9 @@ def multipliers(cells: DataFrame, goals: DataFrame) -> DataFrame:
             (F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean")),
             F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("mean", F.greatest("mean", F.lit(1e-9)))
-        .withColumns({"tilt": F.lit(0.0), "low": F.lit(-1e4), "high": F.lit(1e4),
+        # A source that gives all it may needs no search: its rate is the greatest for every size.
+        .withColumns({"tilt": F.when(F.col("target") >= (1 - 1e-12) * MOST * F.col("source_size"), 1e4)
+                      .otherwise(0.0), "low": F.lit(-1e4), "high": F.lit(1e4),
                       "gap": F.lit(None).cast("double")}))
     for _ in range(BATCHES):
         for _ in range(STEPS):
@@ -103,7 +108,7 @@ def _newton_step(cells: DataFrame, state: DataFrame) -> DataFrame:
         F.sum(weight * rate).alias("taken"),
         F.sum(weight * scaled * rate * (1 - rate / MOST)).alias("slope"))
     gap = F.col("taken") - F.col("target")
-    met = F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0))
+    met = (F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0))) | (F.col("tilt") >= 9e3)
     low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
     high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
     moved = F.when(F.col("slope") > 0, F.col("tilt") - gap / F.col("slope"))
@@ -163,7 +168,7 @@ def cell_copies(cells: DataFrame, goals: DataFrame, tilts: DataFrame) -> DataFra
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
-    """(id, size, source, source_size, target, copies, taken), one row per row of ``docs``."""
+    """(id, size, source, source_size, target, copies, taken, text_hash), a row per row of ``docs``."""
     sizes = cut_lineage(sized(docs, id_col, text_col, source_col))
     cells = cut_lineage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = cut_lineage(targets(sizes))
@@ -171,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rank the documents of a cell: parts of hashed ids, each part ranked by itself behind an offset.
     part = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
     ranked = sizes.withColumn("part", part).withColumn("at", F.row_number().over(
-        W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", F.lit(1)), "id")))
+        W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", F.lit(1)), "id", "text_hash")))
     parts = sizes.groupBy("source", "size", part.alias("part")).agg(F.count("*").alias("n"))
     offsets = parts.withColumn("before", F.sum("n").over(
         W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
@@ -185,7 +190,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranked.join(marks, F.expr("source <=> s AND size = z AND part = q"))
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
         .select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies",
-                (F.col("copies") * F.col("size")).alias("taken"))
+                (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
     )
 
 
@@ -193,16 +198,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, once each, with ``copies``: how often it takes them.
 
-    Rows that share an id are told apart by their rank in size.
+    Rows that share an id are told apart by source and text; rows that share all three are one as good
+    as another and are numbered.
     """
-    plan = mix(docs, id_col, text_col, source_col).select(
-        F.col(id_col).alias("mix_id"), "copies",
-        F.row_number().over(W.partitionBy(id_col).orderBy("size", "copies")).alias("mix_rank"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-    name = free_name(docs, "mix_no")
-    rows = docs.withColumn(name, F.row_number().over(W.partitionBy(id_col).orderBy(size)))
+    keys = ("id", "size", "source", "text_hash")
+    ids, sizes, sources, hashes, number = names = [free_name(docs, f"mix_{k}") for k in (*keys, "number")]
     copies = free_name(docs, "copies")
-    return (rows.join(plan.withColumnRenamed("copies", copies).where(F.col(copies) > 0),
-                      F.col(id_col).eqNullSafe(F.col("mix_id"))
-                      & ((F.col(name) - F.col("mix_rank")) == 0))
-            .drop("mix_id", "mix_rank", name))
+    plan = mix(docs, id_col, text_col, source_col).select(
+        F.col(id_col).alias(ids), F.col("size").alias(sizes), F.col("source").alias(sources),
+        F.col("text_hash").alias(hashes), F.col("copies").alias(copies))
+    plan = plan.withColumn(number, F.row_number().over(W.partitionBy(*names[:4]).orderBy(F.desc(copies))))
+    own = [free_name(docs, f"own_{k}") for k in (*keys, "number")]
+    rows = docs.withColumns(dict(zip(own, (
+        F.col(id_col), _size_of(F.col(text_col)), F.col(source_col), F.xxhash64(text_col)))))
+    rows = rows.withColumn(own[4], F.row_number().over(W.partitionBy(*own[:4]).orderBy(own[3])))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own[:3], names)]
+    met = same[0] & same[1] & same[2] & (F.col(own[3]) == F.col(hashes)) & (F.col(own[4]) == F.col(number))
+    return rows.join(plan.where(F.col(copies) > 0), met).drop(*own, *names)
