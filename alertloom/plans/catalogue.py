@@ -387,6 +387,39 @@ def random_pick(spark, sf):
     return sampling.random_k(fixtures.alerts(spark, sf).select("doc_id"), 100)
 
 
+def sampling_properties(spark, sf):
+    """What the seeded picks hold, whatever rows the seed gives."""
+    alerts = fixtures.alerts(spark, sf).select("doc_id")
+    known = alerts.withColumn("known", F.lit(1))
+    drawn = sampling.resample(alerts, 1000).join(known, "doc_id", "left").agg(
+        F.count("*").alias("drawn"), F.count("known").alias("drawn_known"))
+    order = sampling.shuffled(alerts).agg(
+        F.count("*").alias("shuffled"), F.countDistinct("doc_id").alias("different"),
+        F.countDistinct("row_no").alias("places"), F.max("row_no").alias("last_place"))
+    picked = sampling.random_k(alerts, 100).join(known, "doc_id").agg(F.countDistinct("doc_id").alias("picked"))
+    return drawn.join(order).join(picked)  # one row each
+
+
+def model_properties(spark, sf):
+    """What scores, attributions, prototypes and reports must satisfy whatever the forest learned."""
+    run = trained(spark, sf)
+    scored = run.model.score(_features(spark, sf)).agg(
+        F.count("*").alias("scored"), F.count_if("score BETWEEN 0 AND 1 AND raw_score BETWEEN 0 AND 1").alias("in_range"))
+    ordered = ("forall(sequence(1, greatest(size(top_features) - 1, 1)), i -> i >= size(top_features) OR "
+               "abs(top_features[i - 1].impact) >= abs(top_features[i].impact)) AND "
+               "forall(top_features, t -> t.value <> 0)")
+    told = [training.explain(fixtures.alerts(spark, sf), run, POLICY, FMAP, m).agg(
+        F.count_if(F.expr(ordered)).alias(f"{m}_ordered")) for m in ("tree", "background", "importances")]
+    weight = run.prototypes().agg(F.round(F.sum("weight")).cast("bigint").alias("prototype_rows"))
+    precision, _, report = run.evaluation()
+    tested = precision.select(F.col("n").alias("tested"), F.expr("average_precision BETWEEN 0 AND 1").alias("ap_in_range"))
+    support = report.where("name IN ('0', '1')").agg(F.sum("support").cast("bigint").alias("supported"))
+    out = scored
+    for one in (*told, weight, tested, support):
+        out = out.join(one)  # one row each
+    return out
+
+
 _TRAINED: dict[tuple[str, str], training.Trained] = {}
 
 
@@ -621,6 +654,7 @@ QUERIES = {
     "resample": resampled,
     "shuffle": shuffled,
     "random_pick": random_pick,
+    "sampling_properties": sampling_properties,
     "parsed_alerts": parsed_alerts,
     "enriched_features": enriched_features,
     "provenance_join": provenance_join,
@@ -638,4 +672,5 @@ QUERIES = {
     "prototypes": prototypes,
     "model_evaluation": model_evaluation,
     "model_class_report": model_class_report,
+    "model_properties": model_properties,
 }

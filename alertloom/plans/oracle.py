@@ -685,6 +685,16 @@ def oracle() -> dict[str, str]:
         "stream_rolling_equals": _sql(
             "SELECT count(*) AS n, count(*) AS equal FROM alerts WHERE coalesce(srcip, '') <> '' AND floor(ts_s / 60) < "
             "(SELECT max(floor(ts_s / 60)) FROM alerts WHERE coalesce(srcip, '') <> '')", ""),
+        "sampling_properties": _sql(
+            "SELECT CAST(1000 AS BIGINT) AS drawn, CAST(1000 AS BIGINT) AS drawn_known, count(*) AS shuffled, "
+            "count(*) AS different, count(*) AS places, count(*) AS last_place, least(100, count(*)) AS picked "
+            "FROM alerts", ""),
+        "model_properties": _sql(
+            ", c AS (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS held "
+            "FROM weak GROUP BY points <= 12), s AS (SELECT CAST(sum(n) AS BIGINT) AS n, "
+            "CAST(sum(n - held) AS BIGINT) AS train, CAST(sum(ceil(held / CAST(2 AS DOUBLE))) AS BIGINT) AS test FROM c) "
+            "SELECT n AS scored, n AS in_range, n AS tree_ordered, n AS background_ordered, n AS importances_ordered, "
+            "train AS prototype_rows, test AS tested, true AS ap_in_range, test AS supported FROM s", "weak"),
         "stored_model_equals": _sql("SELECT count(*) AS n, count(*) AS equal FROM alerts", ""),
         "model_less": _sql(
             "SELECT id AS doc_id, CAST(0.5 AS DOUBLE) AS predicted_score, CASE WHEN 0.5 >= threshold THEN "

@@ -4,6 +4,10 @@ Lines are read splittable. A file that holds one JSON document has to be read wh
 large arrays once with ``sinks.write_shards`` and read them as lines from then on.
 """
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,21 +100,28 @@ def unwrapped(documents: DataFrame) -> DataFrame:
 
 
 def layouts(spark: SparkSession, paths) -> DataFrame:
-    """Per file: ``lines`` when its first line is an object of its own, else ``document``."""
-    first = (
+    """Per file: ``lines`` when its first or its last line is an object of its own, else ``document``.
+
+    A document over several lines begins and ends with a line that is none, so a file of lines with a
+    broken line at one end stays one.
+    """
+    edges = (
         spark.read.text(paths)
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.struct(F.col("_metadata.file_block_start"),
                          F.monotonically_increasing_id()).alias("at"))
         .where(f"{_strip('value')} <> ''")
-        .groupBy("file").agg(F.min_by("value", "at").alias("first"))
+        .groupBy("file").agg(F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"))
     )
     wrapper = " OR ".join(f"startswith(coalesce(m['{w}'], ''), '[')" for w in WRAPPERS)
-    return first.selectExpr(
-        "file", f"CASE WHEN try_parse_json(first) IS NOT NULL AND startswith({_strip('first')}, '{{') "
-                "THEN from_json(first, 'map<string,string>') END AS m"
-    ).selectExpr("file", f"CASE WHEN m IS NULL OR {wrapper} OR map_contains_key(m, 'hits') "
-                         "THEN 'document' ELSE 'lines' END AS layout")
+
+    def own(line: str) -> str:
+        return (f"transform(array(CASE WHEN try_parse_json({line}) IS NOT NULL AND "
+                f"startswith({_strip(line)}, '{{') THEN from_json({line}, 'map<string,string>') END), "
+                f"m -> m IS NOT NULL AND NOT ({wrapper} OR map_contains_key(m, 'hits')))[0]")
+
+    return edges.selectExpr("file", f"CASE WHEN {own('first')} OR {own('last')} THEN 'lines' ELSE 'document' END "
+                                    "AS layout")
 
 
 def read_alerts(spark: SparkSession, paths, layout: str = "auto") -> DataFrame:
@@ -134,6 +145,24 @@ def read_alerts(spark: SparkSession, paths, layout: str = "auto") -> DataFrame:
     return parse_alerts(texts)
 
 
+def first_available(candidates: list, read: Callable[[object], DataFrame]) -> tuple[DataFrame, object]:
+    """The first of several places that can be read and holds a row, and which one it was.
+
+    ``read`` turns a place (a path, a list of paths) into a frame. A place that is missing, cannot be
+    listed or is empty is passed over; if none is left, the reasons are told.
+    """
+    reasons = []
+    for place in candidates:
+        try:
+            found = read(place)
+            if not found.isEmpty():
+                return found, place
+            reasons.append(f"{place}: empty")
+        except (PySparkException, Py4JJavaError) as error:
+            reasons.append(f"{place}: {str(error).splitlines()[0]}")
+    raise ValueError("nothing to read: " + "; ".join(reasons))
+
+
 def require_alerts(alerts: DataFrame) -> DataFrame:
     """The same frame; fails when it holds no alert."""
     if alerts.isEmpty():

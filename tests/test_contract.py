@@ -11,7 +11,7 @@ from tools.check_oracle import compare
 
 ORACLE = contract.oracle_sql()
 # Needs the full forest: covered by test_models with a small one.
-HEAVY = {"model_split", "attribution_additivity"}
+HEAVY = {"model_split", "attribution_additivity", "model_properties"}
 
 
 @pytest.fixture(scope="module")

@@ -157,3 +157,22 @@ def test_sinks_round_trip(spark, make_alerts, tmp_path):
     sinks.append_feedback(feedback, str(tmp_path / "f"))
     stored = spark.read.json(str(tmp_path / "f")).first()
     assert stored["trust_score"] == 5 and stored["@ingested_at"].endswith("Z")
+
+
+def test_one_broken_line_stays_one_bad_row(spark, tmp_path):
+    good = '{"id": "1", "rule": {"level": 3}}'
+    write(tmp_path, "head.json", "cut off {\n" + f"{good}\n" * 3)
+    write(tmp_path, "tail.json", f"{good}\n" * 2 + '{"id": "2", "ru')
+    write(tmp_path, "pretty.json", '[\n  {\n    "id": "3",\n    "rule": {"level": 3}\n  }\n]\n')
+    found = files.read_alerts(spark, str(tmp_path)).groupBy("bad").count().collect()
+    assert {r["bad"]: r["count"] for r in found} == {False: 6, True: 2}
+
+
+def test_the_next_place_is_read_when_one_is_missing_or_empty(spark, tmp_path):
+    write(tmp_path, "there.json", '{"id": "1"}\n')
+    write(tmp_path, "empty.json", "")
+    places = [str(tmp_path / n) for n in ("missing.json", "empty.json", "there.json")]
+    found, place = files.first_available(places, lambda p: files.read_alerts(spark, p, "lines"))
+    assert place == places[2] and ids(found) == ["1"]
+    with pytest.raises(ValueError, match="missing.json.*empty.json: empty"):
+        files.first_available(places[:2], lambda p: files.read_alerts(spark, p, "lines"))
