@@ -1,16 +1,19 @@
 """What the two span finders share: sampling, training and applying a field, digests of spans."""
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.crf import Field
 
 Span = tuple[str, int, int]
+# Bounds of what teaches a field: tokens of a sequence, sequences of the sample.
+PIECE, SAMPLE_PIECES = 200, 6000
 
 
 def inline(sentence: str) -> tuple[str, list[Span]]:
@@ -26,28 +29,43 @@ def inline(sentence: str) -> tuple[str, list[Span]]:
     return text, spans
 
 
-def hashed_sample(docs: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, the same ones in each run: those whose hashed id is low enough."""
-    n = docs.count()
-    cut = min(1 << 30, -(-rows * (1 << 30) // max(1, n)))
-    return docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < cut)
+def pieces(field: Field, text: str, spans: list[Span]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of a text's sequences, long ones in parts of at most ``PIECE`` tokens."""
+    for tokens, feats in field.sequences(text):
+        labels = field.label(tokens, spans)
+        for at in range(0, len(tokens), PIECE):
+            yield feats[at:at + PIECE], labels[at:at + PIECE]
+
+
+def sampled_pieces(docs: DataFrame, id_col: str, text_col: str, field: Field,
+                   rules: Callable[[str], list[Span]], rows: int) -> list:
+    """Features and rule labels of at most ``SAMPLE_PIECES`` sequences of ``rows`` documents, the same in
+    each run: those of least hashed id and text, then those of least hash. Texts stay on the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(x.astype(np.int32).tobytes(), y.astype(np.int32).tobytes(), len(y))
+                   for text in batch.column(0).to_pylist() for x, y in pieces(shared.value, text, rules(text))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32()))],
+                names=["x", "y", "n"])
+
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    chosen = (docs.where(F.length(text_col) > 0).select(h.alias("h"), F.col(text_col).alias("text"))
+              .orderBy("h", "text").limit(rows).select("text"))
+    found = chosen.mapInArrow(learn, "x binary, y binary, n int")
+    held = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_PIECES).collect()
+    return [(np.frombuffer(r["x"], np.int32).reshape(r["n"], -1).astype(np.int64),
+             np.frombuffer(r["y"], np.int32).astype(np.int64)) for r in held]
 
 
 def trained(docs: DataFrame, id_col: str, text_col: str, field: Field, table: tuple[str, ...],
             rules: Callable[[str], list[Span]], rows: int) -> Field:
-    """The field fitted on the labelled sentences and on rule spans of a bounded hashed sample."""
-    texts = [(t, s) for t, s in map(inline, table)]
-    sample = hashed_sample(docs.select(id_col, text_col), id_col, rows).select(text_col)
-    for (text,) in sample.collect()[:2 * rows]:
-        if text:
-            texts.append((text, rules(text)))
-    seqs, labels = [], []
-    for text, spans in texts:
-        for tokens, feats in field.sequences(text):
-            if len(tokens) <= 200:
-                seqs.append(feats)
-                labels.append(field.label(tokens, spans))
-    return field.fit(seqs, labels)
+    """The field fitted on the labelled sentences and on rule spans of a bounded sample."""
+    learned = [p for sentence in table for p in pieces(field, *inline(sentence))]
+    learned += sampled_pieces(docs, id_col, text_col, field, rules, rows)
+    return field.fit([x for x, _ in learned], [y for _, y in learned])
 
 
 def joined(spans: list[Span]) -> str:

@@ -119,3 +119,19 @@ def test_empty_tables(table):
     docs = table([], "doc_id long, text string", 1)
     for module in (pii, secret):
         assert docs.select(module.find(docs, module.field(docs))).collect() == []
+
+
+def test_a_table_without_ids_gives_a_bounded_sample(table, monkeypatch):
+    monkeypatch.setattr(spans, "SAMPLE_PIECES", 50)
+    docs = table([(None, f"call me at room {k} or mail a{k}@post.example") for k in range(3000)], "doc_id long, text string")
+    field = pii.Field(pii.KINDS, "@+")
+    first = spans.sampled_pieces(docs, "doc_id", "text", field, pii.rules, 40)
+    assert 0 < len(first) <= 50
+    again = spans.sampled_pieces(docs.repartition(5), "doc_id", "text", field, pii.rules, 40)
+    assert [x.tolist() for x, _ in first] == [x.tolist() for x, _ in again]
+
+
+def test_long_runs_teach_in_pieces():
+    field = pii.Field(pii.KINDS, "@+")
+    got = list(spans.pieces(field, " ".join(str(k) for k in range(1000)), []))
+    assert sum(len(y) for _, y in got) == 1000 and max(len(y) for _, y in got) <= spans.PIECE
