@@ -168,7 +168,12 @@ def cell_copies(cells: DataFrame, goals: DataFrame, tilts: DataFrame) -> DataFra
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
-    """(id, size, source, source_size, target, copies, taken, text_hash), a row per row of ``docs``."""
+    """(id, size, source, source_size, target, copies, taken), one row per row of ``docs``."""
+    return _hashed_mix(docs, id_col, text_col, source_col).drop("text_hash")
+
+
+def _hashed_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The mix with ``text_hash``, which tells rows of one id and size apart."""
     sizes = cut_lineage(sized(docs, id_col, text_col, source_col))
     cells = cut_lineage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = cut_lineage(targets(sizes))
@@ -204,7 +209,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = ("id", "size", "source", "text_hash")
     ids, sizes, sources, hashes, number = names = [free_name(docs, f"mix_{k}") for k in (*keys, "number")]
     copies = free_name(docs, "copies")
-    plan = mix(docs, id_col, text_col, source_col).select(
+    plan = _hashed_mix(docs, id_col, text_col, source_col).select(
         F.col(id_col).alias(ids), F.col("size").alias(sizes), F.col("source").alias(sources),
         F.col("text_hash").alias(hashes), F.col("copies").alias(copies))
     plan = plan.withColumn(number, F.row_number().over(W.partitionBy(*names[:4]).orderBy(F.desc(copies))))
