@@ -1,5 +1,7 @@
 """Known licence texts and notices, and equivalent spellings."""
 
+from pathlib import Path
+
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
     "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
@@ -79,6 +81,10 @@ KNOWN = {
     "GPL-3.0-or-later identifier": "SPDX-License-Identifier: GPL-3.0-or-later",
 }
 
+# Entire published texts, one file each, named by the identifier.
+KNOWN |= {path.stem: path.read_text(encoding="utf-8")
+          for path in sorted((Path(__file__).parent / "licence_files").glob("*.txt"))}
+
 # Fixed values: (variant, usual spelling), single words of the canonical text.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"),

@@ -70,12 +70,13 @@ FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 def _licenses() -> str:
     def canonical(text: str) -> str:
-        bare = (rf"regexp_replace({text}, '(?im)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{{4}}|<year>|\[year\])"
-                r"|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$', ' ', 'g')")
-        bare = rf"' ' || trim(regexp_replace(lower({bare}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        bare = (rf"regexp_replace({text}, '(?im)^[ \t*#/;-]*((copyright|\(c\))[^\n]*([0-9]{{4}}|<year>|\[year\])|"
+                r"copyright[ \t]*(\(c\)|©)|©|all rights reserved)[^\n]*$', ' ', 'g')")
+        bare = rf"' ' || trim(regexp_replace(lower({bare}), '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' '"
         for variant, usual in SPELLINGS:
-            bare = f"replace({bare}, ' {variant} ', ' {usual} ')"
-        return f"trim({bare})"
+            variant, usual = (f" {words} ".replace(" ", "  ")[1:-1] for words in (variant, usual))
+            bare = f"replace({bare}, '{variant}', '{usual}')"
+        return f"trim(replace({bare}, '  ', ' '))"
 
     def digest(text: str) -> str:
         return f"CASE WHEN {canonical(text)} <> '' THEN sha256({canonical(text)}) END"

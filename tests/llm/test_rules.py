@@ -162,3 +162,25 @@ def test_contamination_of_nothing(table):
     assert sorted((r.n_words, r.n_hit, r.contaminated) for r in got) == [(0, 0, False), (2, 0, False)]
     assert decontaminate.contamination(none.withColumnRenamed("item_id", "doc_id"), none).collect() == []
     assert decontaminate.clean_rows(docs, none).count() == 2
+
+
+def test_entire_licences_with_other_holders_are_found(table):
+    names = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0", "Artistic", "GFDL-1.3"]
+    holders = ["Copyright Some One 2020", "(c) Some One, 2020", "Copyright (C) 1999-2021 The Authors", "© Some One",
+               "# Copyright 2020 by Some One. All rights reserved."]
+    rows = [(k, f"{holders[k % 5]}\n\n" + KNOWN[n].upper().replace("LICENSE", "LICENCE").replace(",", " ,"))
+            for k, n in enumerate(names)]
+    rows += [(100, KNOWN["GPL-3"][:-300]), (101, "licence licence"), (102, "license license"), (103, None)]
+    got = {r.doc_id: r for r in licenses.scan(table(rows, "doc_id long, text string")).collect()}
+    assert [got[k].license_id for k in range(len(names))] == names
+    assert got[100].license_id is None and got[103].text_digest is None
+    assert got[101].text_digest == got[102].text_digest
+
+
+def test_lines_without_a_keyword_are_never_notices(table):
+    assert licenses.keywords(["released under the mit license", "license"]) == []
+    words = licenses.keywords(["released under the mit license", "spdx license identifier mit"])
+    assert words == ["identifier", "released"]
+    own = {"plain": "license", "odd": "Licensed under our terms"}
+    got = licenses.scan(table([(1, "x\nLicence.\ny"), (2, "licenced under our TERMS")], "doc_id long, text string"), known=own)
+    assert sorted((r.doc_id, r.license_id, r.notices) for r in got.collect()) == [(1, None, "plain"), (2, "odd", "odd")]
