@@ -168,7 +168,7 @@ def test_entire_licences_with_other_holders_are_found(table):
     names = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0", "Artistic", "GFDL-1.3"]
     holders = ["Copyright Some One 2020", "(c) Some One, 2020", "Copyright (C) 1999-2021 The Authors", "© Some One",
                "# Copyright 2020 by Some One. All rights reserved."]
-    rows = [(k, f"{holders[k % 5]}\n\n" + KNOWN[n].upper().replace("LICENSE", "LICENCE").replace(",", " ,"))
+    rows = [(k, f"{holders[k % 5]}\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", KNOWN[n].upper()).replace(",", " ,"))
             for k, n in enumerate(names)]
     rows += [(100, KNOWN["GPL-3"][:-300]), (101, "licence licence"), (102, "license license"), (103, None)]
     got = {r.doc_id: r for r in licenses.scan(table(rows, "doc_id long, text string")).collect()}
