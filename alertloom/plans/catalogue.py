@@ -404,7 +404,8 @@ def model_properties(spark, sf):
     """What scores, attributions, prototypes and reports must satisfy whatever the forest learned."""
     run = trained(spark, sf)
     scored = run.model.score(_features(spark, sf)).agg(
-        F.count("*").alias("scored"), F.count_if("score BETWEEN 0 AND 1 AND raw_score BETWEEN 0 AND 1").alias("in_range"))
+        F.count("*").alias("scored"),
+        F.count_if(F.expr("score BETWEEN 0 AND 1 AND raw_score BETWEEN 0 AND 1")).alias("in_range"))
     ordered = ("forall(sequence(1, greatest(size(top_features) - 1, 1)), i -> i >= size(top_features) OR "
                "abs(top_features[i - 1].impact) >= abs(top_features[i].impact)) AND "
                "forall(top_features, t -> t.value <> 0)")
