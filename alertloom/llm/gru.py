@@ -88,7 +88,7 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 def run(p: Params, x: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: list | None = None):
     """Hidden states of a window; ``tape`` collects what the backward pass needs."""
-    drive = p["E"][x] @ p["Wx"] + p["b"]
+    drive = p["EW"][x] if "EW" in p else p["E"][x] @ p["Wx"] + p["b"]
     states = np.empty((*x.shape, HIDDEN), dtype=np.float32)
     for t in range(len(x)):
         before = h * keep[t][:, None]
@@ -134,6 +134,8 @@ def score(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
     total = np.zeros(len(docs))
     if not docs:
         return total
+    # The parameters stand still here, so each symbol's part in the gates is made once.
+    p = {**p, "EW": p["E"] @ p["Wx"] + p["b"]}
     x, y, which, keep, sizes = grid(docs, end, SCORE_LANES)
     h = np.zeros((len(sizes), HIDDEN), dtype=np.float32)
     for at in range(0, len(x), WINDOW):
