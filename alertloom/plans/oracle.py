@@ -683,8 +683,8 @@ def oracle() -> dict[str, str]:
             "FROM weak JOIN alerts a USING (id) GROUP BY 1", "weak"),
         "stream_equals_batch": _sql("SELECT count(*) AS n, count(*) AS equal FROM alerts", ""),
         "stream_rolling_equals": _sql(
-            "SELECT count(*) AS n, count(*) AS equal FROM alerts WHERE coalesce(srcip, '') <> '' AND floor(ts_s / 60) < "
-            "(SELECT max(floor(ts_s / 60)) FROM alerts WHERE coalesce(srcip, '') <> '')", ""),
+            "SELECT count(*) AS n, count(*) AS equal FROM directed WHERE coalesce(src_ip, '') <> '' AND "
+            "ts_s // 60 < (SELECT max(ts_s // 60) FROM directed WHERE coalesce(src_ip, '') <> '')", "directed"),
         "sampling_properties": _sql(
             "SELECT CAST(1000 AS BIGINT) AS drawn, CAST(1000 AS BIGINT) AS drawn_known, count(*) AS shuffled, "
             "count(*) AS different, count(*) AS places, count(*) AS last_place, least(100, count(*)) AS picked "
