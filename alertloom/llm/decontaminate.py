@@ -12,6 +12,7 @@ shingles that some item has are kept.
 Defined results: null and wordless texts have no words and are clean; rows that repeat a doc_id are
 one document if their texts are equal (reported once per row), else told apart by text; items with
 the same text or id count as one item per item_id; empty tables give no hits or an empty result.
+Texts of any length are read whole; further columns are ignored.
 """
 
 from pyspark.sql import Column, DataFrame

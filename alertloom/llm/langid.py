@@ -7,7 +7,8 @@ by hashed id.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if
 no labelled row exists; a single known language is predicted for every other text; rows without a
-language teach nothing; repeated rows are judged each by itself; further columns are ignored.
+language teach nothing; repeated rows are judged each by itself; further columns are ignored. Texts of any length count
+whole.
 """
 
 import re

@@ -13,6 +13,7 @@ what rounding leaves over is dealt out by hashed priority and then by size.
 
 Defined results: null text has size 0, takes nothing and keeps its row; null is a source of its own,
 last in order; repeated rows are mixed as rows of their own; an empty table gives an empty result.
+Texts of any length count whole.
 """
 
 from pyspark.sql import Column, DataFrame

@@ -4,7 +4,8 @@ The field is trained on a small labelled table below and on pattern spans of abo
 ``SAMPLE_ROWS`` documents chosen by hashed id and text, at most ``spans.SAMPLE_PIECES`` sequences of them; it is decoded by Viterbi in numpy batches.
 
 Defined results: a null text is empty and has no spans; repeated rows are searched each by itself; an
-empty table gives an empty result (the field then knows the labelled table only).
+empty table gives an empty result (the field then knows the labelled table only). Texts of any length are
+searched whole.
 """
 
 import re

@@ -5,6 +5,7 @@ is noise. Both limits depend on the length, as short texts compress worse.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged
 each by itself; an empty table gives an empty result; further columns pass through untouched.
+Texts of any length are judged whole.
 """
 
 import numpy as np
