@@ -87,17 +87,16 @@ def _with_base(records: DataFrame) -> DataFrame:
     """
     own = _own(records.where("key IS NOT NULL AND round IS NOT NULL"))
     order = Window.partitionBy("key", "block").orderBy("_place")
-    head = F.first(F.struct("_names", "_impacts", "_place")).over(order)
-    near = own.where("block = 0").withColumn("_base", head)
+    # One column each, so that a report that needs no impacts does not carry them along.
+    base = {"_names1": "_names", "_impacts1": "_impacts", "_first": "_place"}
+    near = own.where("block = 0").withColumns({n: F.first(c).over(order) for n, c in base.items()})
     far_records = records.where(f"key IS NOT NULL AND (round - 1) div {BLOCK} <> 0")
     if not far_records.isEmpty():
         keys = far_records.select("key").distinct()
         bases = own.join(keys, "key", "left_semi").groupBy("key").agg(
-            F.min_by(F.struct("_names", "_impacts", "_place"), "_place").alias("_base"))
-        # Keys without a record in the first block keep their base from the table, others too.
+            *[F.min_by(c, "_place").alias(n) for n, c in base.items()])
         near = near.unionByName(own.where("block <> 0").join(bases, "key"))
-    return near.selectExpr("* EXCEPT (_base)", "_base._names AS _names1", "_base._impacts AS _impacts1",
-                           "_base._place AS _first")
+    return near
 
 
 def _measured(records: DataFrame) -> DataFrame:
