@@ -5,6 +5,7 @@ import os
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 
 from alertloom.operators.canonical import canonicalize
 from alertloom.operators.rolling import NAMES, rolling_counters
@@ -95,3 +96,41 @@ def test_rolling_state_is_bounded_by_an_hour():
         stateful.counters_at([(minute * stateful.SLICE, 1)], recent)
         recent = [r for r in recent if r[0] >= (minute + 1) * stateful.SLICE - stateful.HOUR]
         assert len(recent) <= 60
+
+
+class _Values(list):
+    """A list state without a store."""
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return iter(list(self))
+
+    def put(self, rows):
+        self[:] = rows
+
+    appendList = list.extend
+
+
+class _Instant:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_one_timer_settles_all_minutes_that_the_watermark_has_passed():
+    timers = []
+    rolling = stateful._Rolling()
+    rolling.handle = type("Handle", (), {"registerTimer": lambda self, ms: timers.append(ms)})()
+    rolling.waiting, rolling.recent = _Values(), _Values()
+    minutes = list(range(100))
+    rows = pd.DataFrame({"us": [m * stateful.SLICE for m in minutes], "fail": 1, "doc_id": [str(m) for m in minutes]})
+    assert not list(rolling.handleInputRows(("a",), iter([rows[::-1]]), None))
+    assert timers == [60_000]
+    first = list(rolling.handleExpiredTimer(("a",), _Instant(80 * 60_000 + 1), _Instant(60_000)))
+    assert sum(map(len, first)) == 80 and timers[1:] == [81 * 60_000, 140 * 60_000]
+    assert not list(rolling.handleExpiredTimer(("a",), _Instant(80 * 60_000 + 1), _Instant(120_000)))
+    rest = list(rolling.handleExpiredTimer(("a",), _Instant(200 * 60_000), _Instant(81 * 60_000)))
+    told = pd.concat([*first, *rest])
+    assert told.doc_id.tolist() == [str(m) for m in minutes] and not rolling.waiting
+    assert told.auth_fail_1h.tolist() == [min(m + 1, 61) for m in minutes]
