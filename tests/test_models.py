@@ -191,3 +191,12 @@ def test_explanations(spark, sf, run, method):
             impacts = [abs(t["impact"]) for t in r["top_features"]]
             assert impacts == sorted(impacts, reverse=True)
             assert r["reason"].startswith("Top impact: ")
+
+
+def test_the_training_table_is_dealt_to_all_cores(spark):
+    rows = spark.range(0, 40_000, 1, 1).withColumn("part", F.lit("train"))
+    parts = training.dealt(rows, 40_000)
+    sizes = [r["n"] for r in parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == min(4, spark.sparkContext.defaultParallelism) and max(sizes) <= 10_100
+    assert parts.exceptAll(rows).isEmpty() and rows.exceptAll(parts).isEmpty()
+    assert training.dealt(rows, 10_000) is rows  # small tables stay as they are
