@@ -1,19 +1,23 @@
 """Linear-chain conditional random field over token shapes, trained and decoded in numpy batches.
 
-Labels are O and, for each kind, B (begin) and I (inside). Only words that hold a mark character (a
-digit or one of the caller's signs) and their neighbours can be anything but O: that is a hard
-constraint of the field, so decoding the stretches around such words is decoding the whole text.
+Labels are O and, for each kind, B (begin) and I (inside). A text is one sequence of all its tokens, and
+every token can have any label. What a word gives to its features is worked out once, the rest
+in arrays.
 """
 
 import re
 import zlib
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 BUCKETS = 1 << 13  # hashed features
-CONTEXT = 3  # words on each side of a word with a mark
-SPACE = " \t\n\x0b\x0c\r"
+TOGETHER = 1_000_000  # code points of texts that are decoded together
+CELLS = 1 << 20  # tokens, with padding, that go through Viterbi together
+KNOWN = 300_000  # words that are kept
+HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 NEVER = np.float32(-1e4)
 
@@ -21,8 +25,9 @@ NEVER = np.float32(-1e4)
 class Field:
     """Weights of a field: emissions by feature bucket, transitions, and the names of its kinds."""
 
-    def __init__(self, kinds: tuple[str, ...], marks: str):
-        self.kinds, self.marks = kinds, re.compile(f"[0-9{re.escape(marks)}]+")
+    def __init__(self, kinds: tuple[str, ...], marks: str = ""):
+        # ``marks``, the signs that spans of the kinds often hold, restrict nothing: every token is decoded.
+        self.kinds, self.marks = kinds, marks
         n = 1 + 2 * len(kinds)
         self.emit = np.zeros((BUCKETS, n), dtype=np.float32)
         self.move = np.zeros((n, n), dtype=np.float32)
@@ -34,76 +39,62 @@ class Field:
 
     # -- from text to features -------------------------------------------------------------------
 
-    def stretches(self, text: str) -> list[tuple[int, int]]:
-        """Spans of text around words with marks, CONTEXT words wider on each side, merged."""
-        spans: list[list[int]] = []
-        for hit in self.marks.finditer(text):
-            if spans and hit.start() < spans[-1][1]:
-                continue
-            low, high = _widen(text, hit.start(), hit.end())
-            if spans and low <= spans[-1][1]:
-                spans[-1][1] = max(high, spans[-1][1])
-            else:
-                spans.append([low, high])
-        return [(a, b) for a, b in spans]
-
     def sequences(self, text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
-        """(token spans, feature buckets of each token) of every stretch."""
-        file = file_features(text)
-        out = []
-        for low, high in self.stretches(text):
-            tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, low, high)]
-            if tokens:
-                out.append((tokens, features(text, tokens, file)))
-        return out
+        """(token spans, feature buckets of each token) of the text, one sequence if it has tokens."""
+        tokens = [m.span() for m in TOKEN.finditer(text)]
+        return [(tokens, features(text, tokens, file_features(text)))] if tokens else []
 
     # -- decoding --------------------------------------------------------------------------------
 
     def emissions(self, feats: np.ndarray) -> np.ndarray:
-        return self.emit[feats].sum(axis=1)
+        return np.stack([np.take(column, feats).sum(axis=1) for column in self.emit.T.copy()], axis=1)
 
     def viterbi(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
         """Best label path of every sequence; sequences of like length go through together."""
         move = np.where(self.allowed, self.move, NEVER)
         paths: list[np.ndarray | None] = [None] * len(seqs)
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-        for at in range(0, len(order), 256):
-            group = order[at:at + 256]
+        while order:
+            wide = len(seqs[order[-1]])
+            size = max(1, min(256, CELLS // wide))
+            group, order = order[-size:], order[:-size]
             lens = np.array([len(seqs[i]) for i in group])
-            n = move.shape[0]
-            score = np.zeros((lens.max(), len(group), n), dtype=np.float32)
+            n, rows = move.shape[0], np.arange(len(group))
+            score = np.zeros((wide, len(group), n), dtype=np.float32)
             for j, i in enumerate(group):
                 score[:lens[j], j] = self.emissions(seqs[i])
             back = np.zeros(score.shape, dtype=np.int8)
             best = score[0] + np.where(self.first, 0, NEVER)
-            for t in range(1, len(score)):
-                way = best[:, :, None] + move
-                back[t] = way.argmax(axis=1)
-                step = np.take_along_axis(way, back[t][:, None, :].astype(np.int64), 1)[:, 0]
-                best = np.where((t < lens)[:, None], step + score[t], best)
-            last = best.argmax(axis=1)
+            for t in range(1, wide):
+                at = np.searchsorted(lens, t, side="right")  # sequences that are this long
+                way = best[at:, :, None] + move
+                back[t, at:] = way.argmax(axis=1)
+                best[at:] = way.max(axis=1) + score[t, at:]
+            path = np.empty((wide, len(group)), dtype=np.int8)
+            label = best.argmax(axis=1)
+            for t in range(wide - 1, -1, -1):
+                path[t] = label
+                label = np.where(t < lens, back[t, rows, label], label)
             for j, i in enumerate(group):
-                path = np.empty(lens[j], dtype=np.int8)
-                path[-1] = last[j]
-                for t in range(lens[j] - 1, 0, -1):
-                    path[t - 1] = back[t, j, path[t]]
-                paths[i] = path
+                paths[i] = path[:lens[j], j]
         return paths
 
     def tag(self, texts: Iterable[str]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) spans of every text, in code points."""
-        texts = list(texts)
-        found = [self.sequences(text) for text in texts]
-        paths = iter(self.viterbi([f for seqs in found for _, f in seqs]))
-        return [[span for tokens, _ in seqs for span in self.spans(tokens, next(paths))]
-                for seqs in found]
+        out = []
+        for some in _together(texts):
+            found = [self.sequences(text) for text in some]
+            paths = iter(self.viterbi([f for seqs in found for _, f in seqs]))
+            out += [[span for tokens, _ in seqs for span in self.spans(tokens, next(paths))] for seqs in found]
+        return out
 
     def spans(self, tokens: list[tuple[int, int]], path: np.ndarray) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
-        for (start, end), label in zip(tokens, path):
+        for at in np.flatnonzero(path):
+            (start, end), label = tokens[at], int(path[at])
             if label % 2:
                 out.append((self.kinds[label // 2], start, end))
-            elif label:
+            else:
                 kind, begun, _ = out.pop()
                 out.append((kind, begun, end))
         return out
@@ -114,14 +105,15 @@ class Field:
         """Labels of tokens that lie inside the given spans."""
         out = np.zeros(len(tokens), dtype=np.int64)
         for kind, start, end in spans:
-            inside = [i for i, (a, b) in enumerate(tokens) if a < end and b > start]
+            low = bisect_right(tokens, start, key=lambda t: t[1])
+            inside = range(low, bisect_left(tokens, end, key=lambda t: t[0]))
             for i in inside:
                 out[i] = (1 if i == inside[0] else 2) + 2 * self.kinds.index(kind)
         return out
 
     def fit(self, seqs: list[np.ndarray], labels: list[np.ndarray], rounds: int = 80,
             rate: float = 0.4, decay: float = 1e-3) -> "Field":
-        """Maximum likelihood by forward-backward over padded batches, AdaGrad steps."""
+        """Maximum likelihood by scaled forward-backward over padded batches, AdaGrad steps."""
         if not seqs:
             return self
         n = len(self.first)
@@ -139,26 +131,26 @@ class Field:
         np.add.at(pair, (gold[:, :-1][both], gold[:, 1:][both]), 1)
         seen_e, seen_m = np.full_like(self.emit, 1e-6), np.full_like(self.move, 1e-6)
         for _ in range(rounds):
-            move = np.where(self.allowed, self.move, NEVER).astype(np.float64)
-            emit = np.zeros((len(seqs), wide, n))
-            emit[live] = self.emissions(flat)
-            alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-            alpha[:, 0] = emit[:, 0] + np.where(self.first, 0, NEVER)
-            for t in range(1, wide):
-                step = _logsum(alpha[:, t - 1, :, None] + move, 1) + emit[:, t]
-                alpha[:, t] = np.where(live[:, t, None], step, alpha[:, t - 1])
-            total = _logsum(alpha[:, -1], 1)
+            move = np.exp(self.move.astype(np.float64)) * self.allowed
+            emit = np.ones((len(seqs), wide, n))
+            own = self.emissions(flat).astype(np.float64)
+            emit[live] = np.exp(own - own.max(axis=1, keepdims=True))
+            # Forward and backward shares, scaled at every token.
+            alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.ones((len(seqs), wide, 1))
+            for t in range(wide):
+                step = (emit[:, 0] * self.first if t == 0 else (alpha[:, t - 1] @ move) * emit[:, t])
+                scale[:, t] = np.where(live[:, t, None], step.sum(axis=1, keepdims=True), 1)
+                alpha[:, t] = np.where(live[:, t, None], step / scale[:, t], alpha[:, t - 1])
             expected = np.zeros((n, n))
             for t in range(wide - 2, -1, -1):
-                nxt = (emit[:, t + 1] + beta[:, t + 1])[:, None, :] + move
-                beta[:, t] = np.where(live[:, t + 1, None], _logsum(nxt, 2), 0)
-                joint = np.exp(alpha[:, t, :, None] + nxt - total[:, None, None])
-                expected += joint[live[:, t + 1]].sum(axis=0)
-            chance = np.exp(alpha + beta - total[:, None, None])[live]
-            slope = np.zeros_like(self.emit)
-            diff = (hot - chance).astype(np.float32)
-            for j in range(flat.shape[1]):
-                np.add.at(slope, flat[:, j], diff)
+                there = live[:, t + 1, None]
+                after = np.where(there, emit[:, t + 1] * beta[:, t + 1] / scale[:, t + 1], 0)
+                beta[:, t] = np.where(there, after @ move.T, 1)
+                expected += move * (alpha[:, t].T @ after)
+            chance = (alpha * beta)[live]
+            diff = hot - chance
+            slope = np.stack([np.bincount(flat.ravel(), np.repeat(diff[:, k], flat.shape[1]), BUCKETS)
+                              for k in range(n)], axis=1).astype(np.float32)
             slope -= decay * len(seqs) * self.emit
             seen_e += slope ** 2
             self.emit += rate * slope / np.sqrt(seen_e)
@@ -168,25 +160,17 @@ class Field:
         return self
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def _widen(text: str, low: int, high: int) -> tuple[int, int]:
-    """The word around [low, high) and CONTEXT words on each side."""
-    for _ in range(CONTEXT + 1):
-        while low and text[low - 1] in SPACE:
-            low -= 1
-        while low and text[low - 1] not in SPACE:
-            low -= 1
-    size = len(text)
-    for _ in range(CONTEXT + 1):
-        while high < size and text[high] in SPACE:
-            high += 1
-        while high < size and text[high] not in SPACE:
-            high += 1
-    return low, high
+def _together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``TOGETHER`` code points."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def shape(token: str) -> str:
@@ -215,26 +199,60 @@ def file_features(text: str) -> str:
     return f"{min(6, len(text).bit_length() // 3)}{'code' if signs > 0.01 else 'prose'}"
 
 
+class _Words(dict):
+    """Rows of what is known of the words met so far: shape, lower-cased word, size, start of the shape,
+    flags, check digit and whether it is hexadecimal; names as their checksums."""
+
+    def __init__(self):
+        self.rows = np.zeros((1 << 12, 7), dtype=np.uint64)
+        self.edge = np.array([_code("~")] * 2, dtype=np.uint64)
+
+    def __missing__(self, w: str) -> int:
+        plain = w.isalpha()
+        form = ("x+" if len(w) > 4 else "x") if plain and w.islower() else shape(w)
+        low = w.lower() if plain and len(w) <= 12 else "#"
+        hexed = len(w) >= 8 and HEXADECIMAL.issuperset(w)
+        mixed = not plain and any(map(str.isdigit, w)) and any(map(str.isalpha, w))
+        size = min(len(w), 9) if len(w) < 10 else 10 + min(len(w) // 6, 6)
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = (_code(form), _code(low), size, _code(form[:2]), 4 * hexed + 2 * mixed + (size > 9),
+                         {None: 0, False: 1, True: 2}[_luhn(w)], hexed)
+        self[w] = at
+        return at
+
+
+def _code(name: str) -> int:
+    return zlib.crc32(name.encode())
+
+
+def _buckets(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Buckets of one kind of feature, by multiplicative hashing of its parts."""
+    acc = np.uint64(kind)
+    for part in parts:
+        acc = (acc * _ODD) ^ part
+        acc = acc * _ODD
+        acc = acc ^ (acc >> np.uint64(29))
+    return ((acc * _ODD) >> np.uint64(32)) % np.uint64(BUCKETS)
+
+
+_known = _Words()
+
+
 def features(text: str, tokens: list[tuple[int, int]], file: str) -> np.ndarray:
     """Hashed features of each token: its shape, length and letters, its neighbours', the file's."""
-    words = [text[a:b] for a, b in tokens]
-    shapes = [shape(w) for w in words]
-    low = [w.lower() if len(w) <= 12 and w.isalpha() else "#" for w in words]
-    glued = [i > 0 and tokens[i - 1][1] == tokens[i][0] for i in range(len(tokens))]
-    n = len(tokens)
-
-    def near(items, i):
-        return items[i] if 0 <= i < n else "~"
-
-    rows = []
-    for i, w in enumerate(words):
-        hexed = len(w) >= 8 and all(c in "0123456789abcdefABCDEF" for c in w)
-        mixed = any(c.isdigit() for c in w) and any(c.isalpha() for c in w)
-        size = min(len(w), 9) if len(w) < 10 else 10 + min(len(w) // 6, 6)
-        own = (f"s{shapes[i]}", f"w{low[i]}", f"n{size}{shapes[i][:2]}", f"h{hexed}{mixed}{size > 9}",
-               f"g{glued[i]}{near(glued, i + 1)}{shapes[i]}", f"f{file}{hexed}", "b",
-               f"p{near(shapes, i - 1)}|{shapes[i]}", f"q{shapes[i]}|{near(shapes, i + 1)}",
-               f"P{near(low, i - 1)}", f"Q{near(low, i + 1)}", f"R{near(low, i - 2)}|{near(shapes, i - 1)}",
-               f"l{_luhn(w)}{shapes[i]}", f"t{near(shapes, i - 2)}|{near(shapes, i - 1)}", f"u{near(shapes, i + 2)}")
-        rows.append([zlib.crc32(f.encode()) % BUCKETS for f in own])
-    return np.array(rows, dtype=np.int64)
+    global _known
+    if len(_known) > KNOWN:
+        _known = _Words()
+    n, edge = len(tokens), _known.edge
+    at = np.fromiter(map(_known.__getitem__, [text[a:b] for a, b in tokens]), dtype=np.int64, count=n)
+    form, low, size, begin, flags, check, hexed = _known.rows[at].T
+    forms, lows = np.concatenate([edge, form, edge]), np.concatenate([edge, low, edge])
+    spans = np.array(tokens)
+    glued = np.concatenate([[0], spans[1:, 0] == spans[:-1, 1], [2]]).astype(np.uint64)
+    parts = ((form,), (low,), (size, begin), (flags,), (glued[:-1], glued[1:], form), (hexed, np.uint64(_code(file))),
+             (np.zeros_like(form),), (forms[1:-3], form), (form, forms[3:-1]), (lows[1:-3],), (lows[3:-1],),
+             (lows[:-4], forms[1:-3]), (check, form), (forms[:-4], forms[1:-3]), (forms[4:],))
+    with np.errstate(over="ignore"):
+        return np.stack([_buckets(k + 1, *p) for k, p in enumerate(parts)], axis=1).astype(np.int32)

@@ -135,3 +135,41 @@ def test_long_runs_teach_in_pieces():
     field = pii.Field(pii.KINDS, "@+")
     got = list(spans.pieces(field, " ".join(str(k) for k in range(1000)), []))
     assert sum(len(y) for _, y in got) == 1000 and max(len(y) for _, y in got) <= spans.PIECE
+
+
+def test_every_token_of_a_text_is_decoded():
+    field = Field(("secret",), "=:_")
+    seqs, labels = [], []
+    for sentence in ("the phrase is [[secret|swordfish]] for all of us today my friends",
+                     "nobody said a word about the weather or the long way home again"):
+        (tokens, feats), = field.sequences(spans.inline(sentence)[0])
+        seqs.append(feats)
+        labels.append(field.label(tokens, spans.inline(sentence)[1]))
+    field.fit(seqs, labels)
+    # No digit and no sign anywhere: nothing but whole decoding reaches the word.
+    text = "nobody said the phrase is swordfish for all of us"
+    assert [text[a:b] for _, a, b in field.tag([text])[0]] == ["swordfish"]
+    words = " ".join(["word"] * 3000)
+    (tokens, _), = field.sequences(words)
+    assert len(tokens) == 3000
+
+
+def test_slopes_of_the_field_equal_exhaustive_sums():
+    rng = np.random.default_rng(6)
+    seqs = [rng.integers(0, 40, (n, 3)) for n in (1, 3, 4)]
+    labels = [np.zeros(len(s), dtype=np.int64) for s in seqs]
+    fields = []
+    for _ in range(2):
+        field = Field(("k",))
+        fields.append(field.fit(seqs, labels, rounds=1, rate=1.0, decay=0.0))
+    assert np.array_equal(fields[0].emit, fields[1].emit)
+    # One AdaGrad step from zero moves every weight by the sign of its slope.
+    ways = [[w for w in itertools.product(range(3), repeat=len(s))
+             if w[0] != 2 and not any(a == 0 and b == 2 for a, b in zip(w, w[1:]))] for s in seqs]
+    slope = np.zeros((3, 3))
+    for some in ways:
+        for way in some:
+            for a, b in zip(way, way[1:]):
+                slope[a, b] -= 1 / len(some)
+        slope[0, 0] += len(some[0]) - 1
+    assert np.array_equal(np.sign(fields[0].move[slope != 0]), np.sign(slope[slope != 0]))
