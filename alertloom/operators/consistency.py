@@ -21,10 +21,10 @@ def jaccard_sql(a: str, b: str) -> str:
             f"/ size(array_union({a}, {b})) END")
 
 
-def _average_ranks(values: str) -> str:
-    """Twice the average rank of each element: ties share the mean of their places."""
-    return (f"transform({values}, x -> aggregate({values}, 1L, (n, y) -> n + "
-            "CASE WHEN y < x THEN 2L WHEN y = x THEN 1L ELSE 0L END))")
+def _average_ranks(values: str, up: str, down: str) -> str:
+    """Twice the average rank of each element, from the values sorted both ways: ties share the mean of
+    their first and last place."""
+    return (f"transform({values}, x -> array_position({up}, x) + size({up}) + 1L - array_position({down}, x))")
 
 
 def spearman(df: DataFrame, first: str, current: str, name: str) -> DataFrame:
@@ -33,24 +33,27 @@ def spearman(df: DataFrame, first: str, current: str, name: str) -> DataFrame:
     NULL with fewer than two shared features or when one side has no variance. Ranks are kept
     doubled and the sums in whole numbers, so the result does not depend on summation order.
     """
-    staged = add(df, _shared=f"array_sort(array_intersect(map_keys({first}), map_keys({current})))")
+    staged = add(df, _shared=f"array_intersect(map_keys({first}), map_keys({current}))")
     staged = add(staged, _x=f"transform(_shared, f -> {first}[f])",
                  _y=f"transform(_shared, f -> {current}[f])")
-    staged = add(staged, _rx=_average_ranks("_x"), _ry=_average_ranks("_y"), _n="size(_shared)")
+    staged = add(staged, _ux="sort_array(_x)", _uy="sort_array(_y)", _dx="sort_array(_x, false)",
+                 _dy="sort_array(_y, false)", _n="size(_shared)")
+    staged = add(staged, _rx=_average_ranks("_x", "_ux", "_dx"), _ry=_average_ranks("_y", "_uy", "_dy"))
 
     def total(expr: str) -> str:
         return f"aggregate(sequence(0, _n - 1), 0L, (s, i) -> s + {expr})"
 
     staged = add(staged, _sums=(
         "CASE WHEN _n >= 2 THEN named_struct("
-        f"'x', {total('_rx[i]')}, 'y', {total('_ry[i]')}, 'xy', {total('_rx[i] * _ry[i]')}, "
+        f"'x', _n * (_n + 1L), 'y', _n * (_n + 1L), 'xy', {total('_rx[i] * _ry[i]')}, "
         f"'xx', {total('_rx[i] * _rx[i]')}, 'yy', {total('_ry[i] * _ry[i]')}) END"))
     staged = add(staged, _cov="_n * _sums.xy - _sums.x * _sums.y",
                  _vx="_n * _sums.xx - _sums.x * _sums.x", _vy="_n * _sums.yy - _sums.y * _sums.y")
     out = add(staged, **{name: "CASE WHEN _vx > 0 AND _vy > 0 "
                                "THEN _cov / (sqrt(cast(_vx AS DOUBLE)) * sqrt(cast(_vy AS DOUBLE)))"
                                " END"})
-    return out.drop("_shared", "_x", "_y", "_rx", "_ry", "_n", "_sums", "_cov", "_vx", "_vy")
+    return out.drop("_shared", "_x", "_y", "_ux", "_uy", "_dx", "_dy", "_rx", "_ry", "_n", "_sums",
+                    "_cov", "_vx", "_vy")
 
 
 def _last_by_name(entries: str) -> str:
@@ -69,12 +72,14 @@ def _own(records: DataFrame) -> DataFrame:
     return add(
         records.selectExpr(
             "key", "round", "i", "score", "label", f"(round - 1) div {BLOCK} AS block",
-            f"array_distinct(transform({named}, t -> t.feature)) AS _names",
-            f"filter({named}, t -> t.impact IS NOT NULL) AS _entries"),
-        _impacts=f"map_from_entries(transform({_last_by_name('_entries')}, "
+            f"{named} AS _named")
+        .selectExpr(
+            "*", "array_distinct(_named.feature) AS _names", "filter(_named, t -> t.impact IS NOT NULL) AS _entries")
+        .withColumn("_lone", F.expr("size(_names) = size(_named)")),  # no name comes twice
+        _impacts=f"map_from_entries(transform(CASE WHEN _lone THEN _entries ELSE {_last_by_name('_entries')} END, "
                  "t -> struct(t.feature, t.impact)))",
         _place="struct(round, i, label, score, xxhash64(_names, _entries) AS content)",
-    ).drop("_entries")
+    ).drop("_named", "_entries", "_lone")
 
 
 def _with_base(records: DataFrame) -> DataFrame:
