@@ -200,3 +200,18 @@ def test_the_training_table_is_dealt_to_all_cores(spark):
     assert len(sizes) == min(4, spark.sparkContext.defaultParallelism) and max(sizes) <= 10_100
     assert parts.exceptAll(rows).isEmpty() and rows.exceptAll(parts).isEmpty()
     assert training.dealt(rows, 10_000) is rows  # small tables stay as they are
+
+
+def test_calibration_scores_every_row_once(spark):
+    from alertloom.models.forest import fit_sigmoid
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            read.add(batch.num_rows)
+            yield batch
+
+    scored = spark.range(0, 400, 1, 4).selectExpr("(id % 40) / 40D AS raw_score", "cast(id % 40 >= 10 + id % 20 AS INT) AS label")
+    slope, _ = fit_sigmoid(scored.mapInArrow(count, scored.schema))
+    assert slope > 0
+    assert read.value == 400
