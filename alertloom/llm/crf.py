@@ -13,8 +13,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BUCKETS = 1 << 13  # hashed features
-TOGETHER = 1_000_000  # code points of texts that are decoded together
+TOGETHER = 2_000_000  # code points of texts that are decoded together
 CELLS = 1 << 20  # tokens, with padding, that go through Viterbi together
+SLACK = np.float32(1e-2)  # above what single precision loses
+ROUNDS = 4  # of ruling out labels before Viterbi
 KNOWN = 300_000  # words that are kept
 HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -42,50 +44,119 @@ class Field:
     def sequences(self, text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
         """(token spans, feature buckets of each token) of the text, one sequence if it has tokens."""
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        return [(tokens, features(text, tokens, file_features(text)))] if tokens else []
+        return [(tokens, features([text], [tokens]))] if tokens else []
 
     # -- decoding --------------------------------------------------------------------------------
 
     def emissions(self, feats: np.ndarray) -> np.ndarray:
-        return np.stack([np.take(column, feats).sum(axis=1) for column in self.emit.T.copy()], axis=1)
+        out = np.zeros((len(feats), self.emit.shape[1]), dtype=np.float32)
+        for column in feats.T:
+            out += np.take(self.emit, column, axis=0)
+        return out
+
+    def _open(self, score: np.ndarray, head: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Tokens that may be other than O on the best path; the others are O whatever stands around them.
+
+        A label is ruled out if putting O in its place gains, whichever labels still stand before and behind;
+        where a span went on behind, its next token begins one then. What is ruled out narrows the neighbours'
+        labels, so this is repeated. ``head`` and ``last`` mark the first and last tokens of texts.
+        """
+        n, inner = len(self.first), range(2, len(self.first), 2)
+        move = np.where(self.allowed, self.move, NEVER)
+        before = np.where(self.allowed, self.move - self.move[:, :1], NEVER)  # of (label before, label)
+        behind = np.where(self.first[None, :], move - move[:1], NEVER)  # of (label, label behind); none begins inside
+        may = np.ones((n, len(score)), dtype=bool)
+        may[:, head] = self.first[:, None]
+        ends = np.where(self.first, np.float32(0), NEVER)[:, None]
+        # First by what the transitions around a token gain at most, wherever it stands.
+        on = max((move[y, i] - move[0, i - 1] + max(0, (self.move[i] - self.move[i - 1])[self.allowed[i]].max())
+                  for i in inner for y in (i - 1, i)), default=NEVER)
+        carry = np.zeros(len(score), dtype=np.float32)  # what a span gains where it goes on
+        for i in inner:
+            np.maximum(carry[:-1], score[1:, i] - score[1:, i - 1] + on, out=carry[:-1])
+        some = np.zeros(len(score), dtype=bool)
+        for y in range(1, n):
+            most = max(before[:, y].max(), ends[y, 0])
+            some |= score[:, y] - score[:, 0] + np.maximum(carry, max(0, behind[y].max())) + most + SLACK >= 0
+        may[1:, ~some] = False
+        todo = np.flatnonzero(some)
+        for _ in range(ROUNDS):
+            opens, stops = head[todo], last[todo]
+            prev, after, next_score = may[:, todo - 1], may[:, (todo + 1) % len(score)], score[(todo + 1) % len(score)]
+            left = np.where(opens, ends, NEVER)
+            right = np.where(stops, np.float32(0), np.full((n, 1), NEVER))
+            for other in range(n):
+                np.maximum(left, np.where(prev[other] & ~opens, before[other][:, None], NEVER), out=left)
+                if self.first[other]:
+                    np.maximum(right, np.where(after[other] & ~stops, behind[:, other][:, None], NEVER), out=right)
+            for i in inner:
+                later = max(0, (self.move[i] - self.move[i - 1])[self.allowed[i]].max())
+                on = np.where(after[i] & ~stops, next_score[:, i] - next_score[:, i - 1] + later - move[0, i - 1], NEVER)
+                for y in (i - 1, i):
+                    np.maximum(right[y], on + move[y, i], out=right[y])
+            own = score[todo].T
+            kept = may[:, todo] & (own - own[:1] + left + right + SLACK >= 0)
+            may[:, todo] = kept
+            todo = todo[kept[1:].any(axis=0)]
+        out = np.zeros(len(score), dtype=bool)
+        out[todo] = True
+        return out
 
     def viterbi(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Best label path of every sequence; sequences of like length go through together."""
+        """Best label path of every sequence.
+
+        Tokens that can only be O cut the sequences; the parts between them are decoded by themselves,
+        those of like length together.
+        """
+        lens = np.array([len(s) for s in seqs], dtype=np.int64)
+        ends = np.cumsum(lens)
+        if not lens.sum():
+            return [np.zeros(0, dtype=np.int8) for _ in seqs]
+        score = self.emissions(np.concatenate([s for s in seqs if len(s)]))
+        path = np.zeros(len(score), dtype=np.int8)
+        last, head = np.zeros(len(score), dtype=bool), np.zeros(len(score), dtype=bool)
+        last[ends[lens > 0] - 1] = True
+        head[(ends - lens)[lens > 0]] = True
+        free = self._open(score, head, last)
+        begin = np.flatnonzero(free & (head | ~np.roll(free, 1)))
+        end = np.flatnonzero(free & (last | ~np.roll(free, -1))) + 1
+        size = end - begin
+        order = np.argsort(size, kind="stable")
+        while len(order):
+            wide = size[order[-1]]
+            low = max(np.searchsorted(size[order], wide // 2, side="right"), len(order) - max(1, CELLS // wide))
+            group, order = order[low:], order[:low]
+            self._best(score, path, begin[group], size[group], head[begin[group]], last[end[group] - 1])
+        return np.split(path, ends[:-1])
+
+    def _best(self, score: np.ndarray, path: np.ndarray, begin: np.ndarray, lens: np.ndarray, head: np.ndarray,
+              last: np.ndarray) -> None:
+        """Writes the best labels of the parts into ``path``, shortest part first. O stands before a part that
+        is no text's ``head`` and behind one that is no text's ``last``."""
         move = np.where(self.allowed, self.move, NEVER)
-        paths: list[np.ndarray | None] = [None] * len(seqs)
-        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-        while order:
-            wide = len(seqs[order[-1]])
-            size = max(1, min(256, CELLS // wide))
-            group, order = order[-size:], order[:-size]
-            lens = np.array([len(seqs[i]) for i in group])
-            n, rows = move.shape[0], np.arange(len(group))
-            score = np.zeros((wide, len(group), n), dtype=np.float32)
-            for j, i in enumerate(group):
-                score[:lens[j], j] = self.emissions(seqs[i])
-            back = np.zeros(score.shape, dtype=np.int8)
-            best = score[0] + np.where(self.first, 0, NEVER)
-            for t in range(1, wide):
-                at = np.searchsorted(lens, t, side="right")  # sequences that are this long
-                way = best[at:, :, None] + move
-                back[t, at:] = way.argmax(axis=1)
-                best[at:] = way.max(axis=1) + score[t, at:]
-            path = np.empty((wide, len(group)), dtype=np.int8)
-            label = best.argmax(axis=1)
-            for t in range(wide - 1, -1, -1):
-                path[t] = label
-                label = np.where(t < lens, back[t, rows, label], label)
-            for j, i in enumerate(group):
-                paths[i] = path[:lens[j], j]
-        return paths
+        wide, rows = lens[-1], np.arange(len(lens))
+        back = np.zeros((wide, len(lens), len(move)), dtype=np.int8)
+        best = score[begin] + np.where(head[:, None], np.where(self.first, 0, NEVER), move[0])
+        live = np.searchsorted(lens, np.arange(wide), side="right").tolist()  # first part that is longer
+        for t in range(1, wide):
+            at = live[t]
+            way = best[at:, :, None] + move
+            back[t, at:] = way.argmax(axis=1)
+            best[at:] = way.max(axis=1) + score[begin[at:] + t]
+        label = (best + np.where(last[:, None], 0, move[:, 0])).argmax(axis=1)
+        for t in range(wide - 1, -1, -1):
+            at = live[t]
+            path[begin[at:] + t] = label[at:]
+            label[at:] = back[t, rows[at:], label[at:]]
 
     def tag(self, texts: Iterable[str]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) spans of every text, in code points."""
         out = []
         for some in _together(texts):
-            found = [self.sequences(text) for text in some]
-            paths = iter(self.viterbi([f for seqs in found for _, f in seqs]))
-            out += [[span for tokens, _ in seqs for span in self.spans(tokens, next(paths))] for seqs in found]
+            tokens = [[m.span() for m in TOKEN.finditer(text)] for text in some]
+            feats = features(some, tokens)
+            paths = self.viterbi(np.split(feats, np.cumsum([len(t) for t in tokens])[:-1]))
+            out += [self.spans(t, path) for t, path in zip(tokens, paths)]
         return out
 
     def spans(self, tokens: list[tuple[int, int]], path: np.ndarray) -> list[tuple[str, int, int]]:
@@ -200,25 +271,31 @@ def file_features(text: str) -> str:
 
 
 class _Words(dict):
-    """Rows of what is known of the words met so far: shape, lower-cased word, size, start of the shape,
+    """Rows of what is known of the words met so far: shape, start of the shape, size, lower-cased word,
     flags, check digit and whether it is hexadecimal; names as their checksums."""
 
     def __init__(self):
         self.rows = np.zeros((1 << 12, 7), dtype=np.uint64)
-        self.edge = np.array([_code("~")] * 2, dtype=np.uint64)
+        self.rows[0, [0, 3]] = _code("~")  # what stands before and behind a text
+        self[""] = 0
 
     def __missing__(self, w: str) -> int:
         plain = w.isalpha()
+        if plain and len(w) < 8 and w.islower():  # most words
+            return self._put(w, (*(_LONG if len(w) > 4 else _SHORT), len(w), _code(w)))
         form = ("x+" if len(w) > 4 else "x") if plain and w.islower() else shape(w)
         low = w.lower() if plain and len(w) <= 12 else "#"
         hexed = len(w) >= 8 and HEXADECIMAL.issuperset(w)
         mixed = not plain and any(map(str.isdigit, w)) and any(map(str.isalpha, w))
         size = min(len(w), 9) if len(w) < 10 else 10 + min(len(w) // 6, 6)
+        return self._put(w, (_code(form), _code(form[:2]), size, _code(low), 4 * hexed + 2 * mixed + (size > 9),
+                             {None: 0, False: 1, True: 2}[_luhn(w)], hexed))
+
+    def _put(self, w: str, row: tuple) -> int:
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = (_code(form), _code(low), size, _code(form[:2]), 4 * hexed + 2 * mixed + (size > 9),
-                         {None: 0, False: 1, True: 2}[_luhn(w)], hexed)
+        self.rows[at, :len(row)] = row
         self[w] = at
         return at
 
@@ -227,6 +304,9 @@ def _code(name: str) -> int:
     return zlib.crc32(name.encode())
 
 
+_LONG, _SHORT = (_code("x+"), _code("x+")), (_code("x"), _code("x"))
+
+
 def _buckets(kind: int, *parts: np.ndarray) -> np.ndarray:
     """Buckets of one kind of feature, by multiplicative hashing of its parts."""
     acc = np.uint64(kind)
@@ -234,25 +314,35 @@ def _buckets(kind: int, *parts: np.ndarray) -> np.ndarray:
         acc = (acc * _ODD) ^ part
         acc = acc * _ODD
         acc = acc ^ (acc >> np.uint64(29))
-    return ((acc * _ODD) >> np.uint64(32)) % np.uint64(BUCKETS)
+    return ((acc * _ODD) >> np.uint64(32)) & np.uint64(BUCKETS - 1)
 
 
 _known = _Words()
 
 
-def features(text: str, tokens: list[tuple[int, int]], file: str) -> np.ndarray:
-    """Hashed features of each token: its shape, length and letters, its neighbours', the file's."""
+def features(texts: list[str], tokens: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Hashed features of each token of each text: its shape, length and letters, its neighbours', the file's."""
     global _known
     if len(_known) > KNOWN:
         _known = _Words()
-    n, edge = len(tokens), _known.edge
-    at = np.fromiter(map(_known.__getitem__, [text[a:b] for a, b in tokens]), dtype=np.int64, count=n)
-    form, low, size, begin, flags, check, hexed = _known.rows[at].T
-    forms, lows = np.concatenate([edge, form, edge]), np.concatenate([edge, low, edge])
-    spans = np.array(tokens)
-    glued = np.concatenate([[0], spans[1:, 0] == spans[:-1, 1], [2]]).astype(np.uint64)
-    parts = ((form,), (low,), (size, begin), (flags,), (glued[:-1], glued[1:], form), (hexed, np.uint64(_code(file))),
-             (np.zeros_like(form),), (forms[1:-3], form), (form, forms[3:-1]), (lows[1:-3],), (lows[3:-1],),
-             (lows[:-4], forms[1:-3]), (check, form), (forms[:-4], forms[1:-3]), (forms[4:],))
+    words: list[str] = ["", ""]
+    for text, own in zip(texts, tokens):
+        words += [text[a:b] for a, b in own]
+        words += ("", "")
+    sizes = np.array([len(own) for own in tokens], dtype=np.int64)
+    every = np.fromiter(map(_known.__getitem__, words), dtype=np.int64, count=len(words))
+    rows = _known.rows[every].T.copy()
+    forms, lows = rows[0], rows[3]
+    spot = np.arange(sizes.sum()) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)  # two edges stand between texts
+    form, begin, size, low, flags, check, hexed = rows[:, spot]
+    spans = np.array([s for own in tokens for s in own], dtype=np.int64).reshape(-1, 2)
+    before, behind = np.zeros(len(spans), dtype=np.uint64), np.full(len(spans), 2, dtype=np.uint64)
+    before[1:] = behind[:-1] = spans[1:, 0] == spans[:-1, 1]
+    stops = np.cumsum(sizes)
+    before[(stops - sizes)[sizes > 0]], behind[stops[sizes > 0] - 1] = 0, 2
+    file = np.repeat(np.array([_code(file_features(text)) for text in texts], dtype=np.uint64), sizes)
+    parts = ((form,), (low,), (size, begin), (flags,), (before, behind, form), (hexed, file),
+             (np.zeros_like(form),), (forms[spot - 1], form), (form, forms[spot + 1]), (lows[spot - 1],), (lows[spot + 1],),
+             (lows[spot - 2], forms[spot - 1]), (check, form), (forms[spot - 2], forms[spot - 1]), (forms[spot + 2],))
     with np.errstate(over="ignore"):
         return np.stack([_buckets(k + 1, *p) for k, p in enumerate(parts)], axis=1).astype(np.int32)

@@ -173,3 +173,41 @@ def test_slopes_of_the_field_equal_exhaustive_sums():
                 slope[a, b] -= 1 / len(some)
         slope[0, 0] += len(some[0]) - 1
     assert np.array_equal(np.sign(fields[0].move[slope != 0]), np.sign(slope[slope != 0]))
+
+
+def test_viterbi_equals_stepwise_search():
+    """Texts of many lengths at once, weights from all O to no O at all."""
+    rng = np.random.default_rng(5)
+    for kinds, lean in ((("a",), 0), (("a", "b", "c", "d"), 2), (("a", "b"), 6)):
+        field = Field(kinds)
+        field.emit = rng.normal(0, 1, field.emit.shape).astype(np.float32)
+        field.emit[:, 0] += lean / 2
+        field.move = rng.normal(0, 2, field.move.shape).astype(np.float32)
+        seqs = [rng.integers(0, len(field.emit), (size, 3)) for size in (1, 0, 40, 2, 3, 700, 1, 17, 0)]
+        move = np.where(field.allowed, field.move, -1e4)
+        for feats, path in zip(seqs, field.viterbi(seqs)):
+            assert len(path) == len(feats)
+            best = None
+            for own in field.emit[feats].sum(axis=1).astype(float):
+                if best is None:
+                    best = own + np.where(field.first, 0, -1e4)
+                else:
+                    best = (best[:, None] + move).max(axis=0) + own
+            if best is None:
+                continue
+            emit = field.emit[feats].sum(axis=1).astype(float)
+            value = emit[np.arange(len(path)), path].sum() + move[path[:-1], path[1:]].sum()
+            assert field.first[path[0]] and abs(value - best.max()) < 1e-2
+
+
+def test_texts_tagged_together_are_tagged_as_alone():
+    field = Field(pii.KINDS, "@+")
+    learned = [p for s in pii.LABELLED for p in spans.pieces(field, *spans.inline(s))]
+    field.fit([x for x, _ in learned], [y for _, y in learned])
+    texts = ["", *(spans.inline(s)[0] for s in pii.LABELLED), " ", "a", "call 030 1234567", ""]
+    assert field.tag(texts) == [field.tag([text])[0] for text in texts]
+    # Their features are made and decoded in few array steps, not text by text.
+    calls = []
+    field.emissions = lambda feats: calls.append(len(feats)) or Field.emissions(field, feats)
+    field.tag(texts)
+    assert len(calls) == 1
