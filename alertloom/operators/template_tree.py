@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.operators.templates import WILDCARD, mask_sql, masked_templates, template_id_sql
-from alertloom.session import cut_lineage
+from alertloom.session import stored
 
 # Fixed value: the usual threshold of prefix-tree miners, in percent of the tokens.
 SIMILARITY = 40
@@ -28,56 +28,67 @@ def _token(place: int) -> str:
 
 def merge_round(templates: DataFrame, places: tuple[int, int], similarity: int = SIMILARITY) -> DataFrame:
     """(template, merged) of the templates that one round changes, of rows (template, n)."""
-    entries = (
-        templates.selectExpr("template", "n", "split(template, ' ') AS words").where("size(words) > 1")
-        .selectExpr("template", "n", "words", "size(words) AS length",
-                    *[f"{_token(p)} AS key{k}" for k, p in enumerate(places)]))
+    spaced = templates.selectExpr("template", "n", "split(template, ' ') AS words").where("size(words) > 1").selectExpr(
+        "template", "n", "size(words) AS length", *[f"{_token(p)} AS key{k}" for k, p in enumerate(places)])
     leaf = ["length", "key0", "key1"]
-    leaves = (entries.groupBy(*leaf).agg(F.min_by("template", F.struct(-F.col("n"), "template")).alias("head"),
-                                         F.count("*").alias("members"))
-              .where("members > 1").selectExpr(*leaf, "head", "split(head, ' ') AS head_words"))
-    odd = ("filter(transform(arrays_zip(words, head_words), (t, i) -> if(t.words <=> t.head_words, NULL, i)), "
-           "i -> i IS NOT NULL)")
-    near = (entries.join(leaves, leaf).selectExpr("template", "head", "length", f"{odd} AS odd")
+    # Most leaves hold one template; the texts of those go no further.
+    shared = spaced.groupBy(*leaf).agg(F.count("*").alias("members")).where("members > 1").select(*leaf)
+    entries = spaced.join(shared, leaf, "left_semi")
+    heads = entries.groupBy(*leaf).agg(F.min(F.struct((-F.col("n")).alias("rank"), "template")).alias("first")).select(
+        *leaf, F.col("first.template").alias("head"))
+    odd = ("filter(transform(arrays_zip(split(template, ' '), split(head, ' ')), "
+           "(t, i) -> if(t.`0` <=> t.`1`, NULL, i)), i -> i IS NOT NULL)")
+    near = (entries.join(heads, leaf)
+            .selectExpr("template", "head", f"{template_id_sql('head')} AS head_id", "length", f"{odd} AS odd")
             .where(f"100 * (length - size(odd)) >= {similarity} * length"))
     # At most one number per token of the representative.
-    varying = (near.selectExpr("head", "explode(odd) AS i").distinct()
-               .groupBy("head").agg(F.collect_set("i").alias("varying")))
+    varying = (near.selectExpr("head_id", "explode(odd) AS i").distinct()
+               .groupBy("head_id").agg(F.collect_set("i").alias("varying")))
     return (
-        near.select("template", "head").join(varying, "head").selectExpr(
+        near.select("template", "head", "head_id").join(varying, "head_id").selectExpr(
             "template",
             f"array_join(transform(split(head, ' '), (t, i) -> if(array_contains(varying, i), "
             f"'{WILDCARD}', t)), ' ') AS merged"))
 
 
-def similar_templates(masked: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Every masked template with the merged template it ends in.
+def _ends(found: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """(template_id, now) of all templates, and (now, merged) of what they end in.
 
-    ``masked`` has a row (template_id, template, n) for each masked template. Templates are known by
-    their ids between the rounds; texts are joined only where a leaf has more than one entry.
+    Templates are known by their ids between the rounds, and each round is stored once, compressed.
     """
-    found = cut_lineage(masked.select("template_id", "template", "n"))
     labels = found.selectExpr("template_id", "template_id AS now")
-    current = found.select("template", "n")
+    current = found.selectExpr("template_id AS now", "template", "n")
     for places in PLACES:
-        changed = cut_lineage(merge_round(current, places, similarity).selectExpr(
-            f"{template_id_sql('template')} AS now", "template", "merged"))
-        moves = changed.selectExpr("now", f"{template_id_sql('merged')} AS next")
-        labels = labels.join(moves, "now", "left").selectExpr(
+        changed = stored(merge_round(current.select("template", "n"), places, similarity).selectExpr(
+            f"{template_id_sql('template')} AS now", f"{template_id_sql('merged')} AS next", "merged"), "template-changes")
+        labels = labels.join(changed.select("now", "next"), "now", "left").selectExpr(
             "template_id", "coalesce(next, now) AS now")
-        after = current.join(changed.select("template", "merged"), "template", "left")
-        current = cut_lineage(after.groupBy(F.coalesce("merged", "template").alias("template"))
-                              .agg(F.sum("n").alias("n")))
-    ends = current.selectExpr(f"{template_id_sql('template')} AS now", "template AS merged")
+        after = current.join(changed, "now", "left").selectExpr(
+            "coalesce(next, now) AS now", "coalesce(merged, template) AS template", "n")
+        current = stored(after.groupBy("now", "template").agg(F.sum("n").alias("n")), "templates")
+    return labels, current.selectExpr("now", "template AS merged")
+
+
+def _found(masked: DataFrame) -> DataFrame:
+    return stored(masked.select("template_id", "template", "n"), "templates")
+
+
+def similar_templates(masked: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Every masked template with the merged template it ends in.
+
+    ``masked`` has a row (template_id, template, n) for each masked template.
+    """
+    labels, ends = _ends(_found(masked), similarity)
     return labels.join(ends, "now").selectExpr("template_id", "now AS merged_id", "merged")
 
 
 def mined_templates(messages: DataFrame, message: str = "message") -> DataFrame:
     """Merged templates with an id, the number of messages and of masked variants."""
-    masked = cut_lineage(masked_templates(messages, message))
-    return (similar_templates(masked).join(masked.select("template_id", "n"), "template_id")
-            .groupBy("merged_id", "merged").agg(F.sum("n").alias("n"), F.count("*").alias("variants"))
-            .selectExpr("merged_id AS template_id", "merged AS template", "n", "variants"))
+    found = _found(masked_templates(messages, message))
+    labels, ends = _ends(found, SIMILARITY)
+    counts = (labels.join(found.select("template_id", "n"), "template_id")
+              .groupBy("now").agg(F.sum("n").alias("n"), F.count("*").alias("variants")))
+    return counts.join(ends, "now").selectExpr("now AS template_id", "merged AS template", "n", "variants")
 
 
 def labelled_messages(messages: DataFrame, message: str = "message") -> DataFrame:

@@ -71,3 +71,13 @@ def test_every_message_is_labelled(spark):
 
 def test_no_messages(spark):
     assert mined(spark) == {}
+
+
+def test_only_shared_leaves_are_compared(spark):
+    """Texts alone in their leaf stay behind a semi-join, and token arrays are never shuffled."""
+    from alertloom.operators.template_tree import merge_round
+    rows = [("a b c d", 1), ("a b c e", 1), ("a b x", 5), ("z b c d", 2), ("", 1), ("a", 1)]
+    merged = merge_round(spark.createDataFrame(rows, "template string, n long"), (0, 1))
+    assert {tuple(r) for r in merged.collect()} == {("a b c d", "a b c <*>"), ("a b c e", "a b c <*>")}
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "head_words" not in plan
