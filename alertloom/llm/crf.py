@@ -190,12 +190,13 @@ class Field:
         n = len(self.first)
         lens = np.array([len(s) for s in seqs])
         wide = lens.max()
-        feats = np.zeros((len(seqs), wide, seqs[0].shape[1]), dtype=np.int64)
+        feats = np.zeros((len(seqs), wide, seqs[0].shape[1]), dtype=np.int32)
         gold = np.zeros((len(seqs), wide), dtype=np.int64)
         for i, (s, y) in enumerate(zip(seqs, labels)):
             feats[i, :lens[i]], gold[i, :lens[i]] = s, y
         live = np.arange(wide)[None, :] < lens[:, None]
-        flat = feats[live]
+        flat = feats[live].astype(np.int64)
+        del feats
         hot = np.eye(n, dtype=np.float32)[gold[live]]
         pair = np.zeros((n, n), dtype=np.float64)
         both = live[:, 1:]

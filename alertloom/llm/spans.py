@@ -1,11 +1,13 @@
 """What the two span finders share: sampling, training and applying a field, digests of spans."""
 
+import copy
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +39,14 @@ def pieces(field: Field, text: str, spans: list[Span]) -> Iterator[tuple[np.ndar
             yield feats[at:at + PIECE], labels[at:at + PIECE]
 
 
-def sampled_pieces(docs: DataFrame, id_col: str, text_col: str, field: Field,
-                   rules: Callable[[str], list[Span]], rows: int) -> list:
-    """Features and rule labels of at most ``SAMPLE_PIECES`` sequences of ``rows`` documents, the same in
-    each run: those of least hashed id and text, then those that hold a span and those of least hash. Texts
-    stay on the executors."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-
+def _piece_rows(docs: DataFrame, id_col: str, text_col: str, field: Broadcast,
+                rules: Callable[[str], list[Span]], rows: int) -> DataFrame:
+    """Features, rule labels and number of tokens of at most ``SAMPLE_PIECES`` sequences of ``rows`` documents,
+    the same in each run: those of least hashed id and text, then those that hold a span and those of least hash."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(x.astype(np.int32).tobytes(), y.astype(np.int32).tobytes(), len(y), bool(y.any()))
-                   for text in batch.column(0).to_pylist() for x, y in pieces(shared.value, text, rules(text))]
+                   for text in batch.column(0).to_pylist() for x, y in pieces(field.value, text, rules(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.bool_()))],
                 names=["x", "y", "n", "marked"])
@@ -56,17 +55,46 @@ def sampled_pieces(docs: DataFrame, id_col: str, text_col: str, field: Field,
     chosen = (docs.where(F.length(text_col) > 0).select(h.alias("h"), F.col(text_col).alias("text"))
               .orderBy("h", "text").limit(rows).select("text"))
     found = chosen.mapInArrow(learn, "x binary, y binary, n int, marked boolean")
-    held = found.orderBy(F.desc("marked"), F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_PIECES).collect()
-    return [(np.frombuffer(r["x"], np.int32).reshape(r["n"], -1).astype(np.int64),
-             np.frombuffer(r["y"], np.int32).astype(np.int64)) for r in held]
+    return (found.orderBy(F.desc("marked"), F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_PIECES)
+            .select("x", "y", "n"))
+
+
+def _piece(x: bytes, y: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(x, np.int32).reshape(n, -1), np.frombuffer(y, np.int32)
+
+
+def sampled_pieces(docs: DataFrame, id_col: str, text_col: str, field: Field,
+                   rules: Callable[[str], list[Span]], rows: int) -> list:
+    """The sampled sequences as (features, labels)."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return [_piece(*r) for r in _piece_rows(docs, id_col, text_col, shared, rules, rows).collect()]
 
 
 def trained(docs: DataFrame, id_col: str, text_col: str, field: Field, table: tuple[str, ...],
             rules: Callable[[str], list[Span]], rows: int) -> Field:
-    """The field fitted on the labelled sentences and on rule spans of a bounded sample."""
-    learned = [p for sentence in table for p in pieces(field, *inline(sentence))]
-    learned += sampled_pieces(docs, id_col, text_col, field, rules, rows)
-    return field.fit([x for x, _ in learned], [y for _, y in learned])
+    """The field fitted on the labelled sentences and on rule spans of a bounded sample.
+
+    Neither texts nor sequences come to the driver: one task fits the field, the driver gets its weights.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def fitted(sampled: Iterable[tuple[np.ndarray, np.ndarray]]) -> Field:
+        learned = [p for sentence in table for p in pieces(shared.value, *inline(sentence))] + list(sampled)
+        return copy.deepcopy(shared.value).fit([x for x, _ in learned], [y for _, y in learned])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fitted(_piece(*r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([own.emit.tobytes()], pa.binary()), pa.array([own.move.tobytes()], pa.binary())], names=["emit", "move"])
+
+    found = (_piece_rows(docs, id_col, text_col, shared, rules, rows).coalesce(1)
+             .mapInArrow(fit, "emit binary, move binary").collect())
+    if not found:  # no partition, no task
+        return fitted([])
+    (weights,) = found
+    field.emit[:], field.move[:] = (np.frombuffer(weights[k], np.float32).reshape(getattr(field, k).shape)
+                                    for k in ("emit", "move"))
+    return field
 
 
 def joined(spans: list[Span]) -> str:

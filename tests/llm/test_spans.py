@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.llm import pii, secret, spans
@@ -211,3 +212,20 @@ def test_texts_tagged_together_are_tagged_as_alone():
     field.emissions = lambda feats: calls.append(len(feats)) or Field.emissions(field, feats)
     field.tag(texts)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("module, labels", [(secret, secret._secrets), (pii, pii.rules)])
+def test_a_field_is_fitted_on_an_executor(table, monkeypatch, module, labels):
+    docs = table([(k, f"mail a{k}@b{k}.org, password = abcdefgh{k}ijklmnop then") for k in range(50)],
+                 "doc_id long, text string")
+    kinds = module.field(docs.limit(0)).kinds
+    own = Field(kinds)
+    learned = [p for sentence in module.LABELLED for p in spans.pieces(own, *spans.inline(sentence))]
+    learned += spans.sampled_pieces(docs, "doc_id", "text", own, labels, 40)
+    own.fit([x for x, _ in learned], [y for _, y in learned])
+
+    def never(*_, **__):
+        raise AssertionError("sequences came to the driver")
+    monkeypatch.setattr(Field, "fit", never)
+    got = module.field(docs, rows=40)
+    assert np.allclose(got.emit, own.emit, atol=1e-3) and np.allclose(got.move, own.move, atol=1e-3)
