@@ -17,13 +17,13 @@ one text must fit a task's memory.
 """
 
 import math
-from collections import Counter
 from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +31,11 @@ from alertloom.llm import gru
 from alertloom.llm.common import ascii_lower, cut_lineage, stored
 
 END = "\n"  # no word holds white space
-HEAD = 1 << 15  # most frequent words whose counts every worker holds
+HEAD = 1 << 15  # most frequent words whose counts every worker holds; their places fit 16 bits
 ROUNDS, REPLICA_TOKENS, GROUP = 3, 1_000_000, 64
 BUFFER_TOKENS = 4_000_000  # symbols that a worker scores at a time
 CHUNK = 4096  # parameters in one row of a replica
-SPACES = r"[\x20\x09-\x0D]+"
+COUNTED = 4_000_000  # words that a worker counts at a time
 
 
 class Corpus(NamedTuple):
@@ -53,12 +53,38 @@ class Corpus(NamedTuple):
 UNKNOWN, LAST = 0, 1  # symbols of all other words and of the end
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, one text after the other, and the number of the text of each."""
+    texts = pc.cast(texts, options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, which = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists))
+    real = pc.not_equal(words, "")
+    return words.filter(real), which[real.to_numpy(zero_copy_only=False)]
+
+
 def token_counts(train: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all whole training texts, the end token included."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(ascii_lower(text), SPACES), "")
-    return (train.select(F.explode(F.array_append(words, END)).alias("word"))
-            .groupBy("word").agg(F.count("*").alias("n")))
+    return (train.select(F.col(text_col).alias("text")).mapInArrow(_counted, "word string, n long")
+            .groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def _counted(batches):
+    """Numbers of words among each ``COUNTED`` that a worker reads, and of ends."""
+    held, size, ends = [], 0, 0
+
+    def rows():
+        found = pc.value_counts(pa.chunked_array(held, pa.string()))
+        return pa.record_batch([found.field("values"), found.field("counts")], ["word", "n"])
+
+    for batch in batches:
+        held.append(words_of(batch.column(0))[0])
+        size, ends = size + len(held[-1]), ends + batch.num_rows
+        if size > COUNTED:
+            yield rows()
+            held, size = [], 0
+    yield rows()
+    if ends:
+        yield pa.record_batch([pa.array([END]), pa.array([ends], pa.int64())], ["word", "n"])
 
 
 def corpus_of(counts: DataFrame) -> Corpus:
@@ -73,16 +99,14 @@ def corpus_of(counts: DataFrame) -> Corpus:
     return Corpus(known, found, end, n, v, n - int(modelled.sum()) - end, v - len(modelled) - (1 if ends else 0))
 
 
-def places(words: list[bytes], corpus: Corpus) -> np.ndarray:
-    """The place of each word, -1 for those beyond the head."""
-    get = corpus.places.get
-    return np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
-
-
 def symbols(at: np.ndarray) -> np.ndarray:
     """Symbols of words by their places, and the end."""
-    known = (at >= 0) & (at < gru.SYMBOLS - 2)
-    return np.append(np.where(known, at + 2, UNKNOWN), LAST).astype(np.int32)
+    out = np.empty(len(at) + 1, dtype=np.int32)
+    out[:-1], out[-1] = at, LAST
+    own = out[:-1]
+    own += 2
+    own[(at < 0) | (at >= gru.SYMBOLS - 2)] = UNKNOWN
+    return out
 
 
 # Classes hold symbols in order of frequency, so the two special symbols stand first.
@@ -94,26 +118,20 @@ def first_params(corpus: Corpus) -> gru.Params:
     return gru.initial(counts)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, known, rounds: int = ROUNDS,
-          replica_tokens: int = REPLICA_TOKENS) -> gru.Params:
-    """Parameters after the rounds of replica training and averaging; ``known`` is a broadcast corpus."""
-    spark = docs.sparkSession
-    corpus = known.value
+def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> gru.Params:
+    """Parameters after the rounds of replica training and averaging over the coded rows (h, places)."""
+    spark = coded.sparkSession
     params = first_params(corpus)
     if not corpus.n:
         return params
     replicas = max(1, round(corpus.n / rounds / replica_tokens))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    h = F.xxhash64(F.col(id_col), text)
-    coded = stored(
-        docs.select(h.alias("h"), text.alias("text")).mapInArrow(_coded(known), "h long, symbols binary")
-        .select(F.pmod("h", F.lit(rounds)).cast("int").alias("round"),
-                F.pmod(F.shiftright("h", 20), F.lit(replicas)).alias("replica"), "h", "symbols"), "lm-symbols")
+    coded = coded.select(F.pmod("h", F.lit(rounds)).cast("int").alias("round"),
+                         F.pmod(F.shiftright("h", 20), F.lit(replicas)).alias("replica"), "h", "places")
     for k in range(rounds):
         rows = coded.where(F.col("round") == k).drop("round")
         shared = spark.sparkContext.broadcast(gru.flat(params))
         vectors = (rows.repartitionByRange(min(replicas, 4096), "replica")
-                   .sortWithinPartitions("replica", "h", "symbols")
+                   .sortWithinPartitions("replica", "h", "places")
                    .mapInArrow(_replica(shared), "chunk int, replica long, weight double, vec array<float>"))
         left = replicas
         while True:
@@ -130,12 +148,27 @@ def train(docs: DataFrame, id_col: str, text_col: str, known, rounds: int = ROUN
     return params
 
 
+CODED = "h long, places binary, rare array<struct<word:string,n:int>>, doc_id long, held_out boolean"
+
+
 def _coded(known):
+    """Texts (hash, text, further columns) as places of their words, -1 for those beyond the head, and numbers of
+    these."""
     def run(batches):
+        head = pa.array(known.value.places, pa.binary()).cast(pa.string())
         for batch in batches:
-            coded = [symbols(places(t.lower().split(), known.value)).astype(np.int16).tobytes()
-                     for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(coded, pa.binary())], ["h", "symbols"])
+            words, which = words_of(batch.column(1))
+            at, texts = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy().astype(np.int16), np.arange(batch.num_rows + 1)
+            stops = np.searchsorted(which, texts).astype(np.int32) * np.int32(at.itemsize)
+            placed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stops), pa.py_buffer(at)])
+            coded = words.filter(pa.array(at < 0)).dictionary_encode()
+            distinct = max(1, len(coded.dictionary))
+            keys, n = np.unique(which[at < 0] * distinct + coded.indices.to_numpy(), return_counts=True)
+            text, word = np.divmod(keys, distinct)
+            pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(n, pa.int32())], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, texts), pa.int32()), pairs)
+            yield pa.record_batch([batch.column(0), placed, rare, *batch.columns[2:]],
+                                  ["h", "places", "rare", *batch.schema.names[2:]])
     return run
 
 
@@ -149,7 +182,7 @@ def _replica(shared):
         for replica, own in groupby(rows(batches), key=lambda r: r[0]):
             trainer, seen, held, size = gru.Trainer(gru.unflat(shared.value)), 0, [], 0
             for _, _, coded in own:
-                held.append(np.frombuffer(coded, dtype=np.int16).astype(np.int32))
+                held.append(symbols(np.frombuffer(coded, dtype=np.int16)))
                 size += len(held[-1])
                 if size > BUFFER_TOKENS:
                     seen += trainer.learn(held, LAST)
@@ -173,19 +206,16 @@ def _weighted_sum(rows: pd.DataFrame) -> pd.DataFrame:
                          "weight": [rows["weight"].sum()], "vec": [total.astype(np.float32)]})
 
 
-PARTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, "
-         "score_part double, rare array<struct<word:string,n:int>>")
+PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score_part double"
 
 
 def _scorer(shared, known):
     def run(batches):
         params, corpus, held, size = gru.unflat(shared.value), known.value, [], 0
         for batch in batches:
-            for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = (text or b"").lower().split()
-                at = places(words, corpus)
-                held.append((doc, out, at, Counter([words[k] for k in np.flatnonzero(at < 0)])))
-                size += len(words) + 1
+            for row, doc, out, coded in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                held.append((row, doc, out, np.frombuffer(coded, dtype=np.int16)))
+                size += len(held[-1][-1]) + 1
                 if size > BUFFER_TOKENS:
                     yield _scored(params, corpus, held)
                     held, size = [], 0
@@ -196,7 +226,7 @@ def _scorer(shared, known):
 
 def _scored(params, corpus: Corpus, held: list[tuple]) -> pa.RecordBatch:
     """Sums over the tokens that the worker knows; the others are handed on with their numbers."""
-    docs, out, at, rare = zip(*held)
+    rows, docs, out, at = zip(*held)
     model = gru.score(params, [symbols(a) for a in at], LAST)
     sizes = np.array([len(a) for a in at])
     flat, which = np.concatenate(at), np.repeat(np.arange(len(at)), sizes)
@@ -207,17 +237,11 @@ def _scored(params, corpus: Corpus, held: list[tuple]) -> pa.RecordBatch:
     rest = math.log10(corpus.rest_n + 0.5 * (corpus.rest_v + 1))
     # Words that share the unknown symbol add their chance among the rest.
     score = model + sums(np.where(unknown, logs - rest, 0.0))
-    flat_words = [w for r in rare for w in r]
-    pairs = pa.StructArray.from_arrays(
-        [pa.array(flat_words, pa.binary()).cast(pa.string()),
-         pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "n"])
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])])
     return pa.record_batch(
-        [pa.array(docs, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes + 1, pa.int64()),
+        [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes + 1, pa.int64()),
          pa.array(sums(flat >= 0).astype(np.int64) + (corpus.ends > 0)),
-         pa.array(sums(logs) + math.log10(corpus.ends + 0.5)), pa.array(score),
-         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-        [field.split()[0] for field in PARTS.split(", ")[:6]] + ["rare"])
+         pa.array(sums(logs) + math.log10(corpus.ends + 0.5)), pa.array(score)],
+        [field.split()[0] for field in PARTS.split(", ")])
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -233,12 +257,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = cut_lineage(token_counts(train_docs, "text"))
     corpus = corpus_of(counts)
     known = context.broadcast(corpus)
-    shared = context.broadcast(gru.flat(train(train_docs, "doc_id", "text", known, rounds, replica_tokens)))
-    parts = cut_lineage(
-        marked.withColumn("text", F.col("text").cast("binary"))
-        .mapInArrow(_scorer(shared, known), PARTS)
-        .withColumn("row", F.monotonically_increasing_id()))
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    # Texts are taken apart once; training and scoring read what is stored here.
+    h = F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary"))
+    coded = stored(marked.select(h.alias("h"), "text", "doc_id", "held_out")
+                   .mapInArrow(_coded(known), CODED).withColumn("row", F.monotonically_increasing_id()), "lm-places")
+    shared = context.broadcast(gru.flat(train(coded.where(~F.col("held_out")), corpus, rounds, replica_tokens)))
+    parts = cut_lineage(coded.select("row", "doc_id", "held_out", "places").mapInArrow(_scorer(shared, known), PARTS))
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     n = F.coalesce("c", F.lit(0))
     found = (rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
              .groupBy("row").agg(F.sum(F.col("n") * F.log10(n + 0.5)).alias("rare_log"),

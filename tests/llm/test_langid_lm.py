@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,68 @@ def test_language_model_beats_word_frequencies_on_held_out_documents(spark, sf):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) * 1.0
 
 
+def test_training_windows_reuse_their_arrays():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(0, gru.SYMBOLS, 400), 1).astype(np.int32) for _ in range(64)]
+    trainer = gru.Trainer(gru.initial(np.ones(gru.SYMBOLS)))
+    trainer.learn(docs, 1)
+    x, y, _, keep, _ = gru.grid(docs, 1, gru.TRAIN_LANES)
+    h, part = np.zeros((64, gru.HIDDEN), dtype=np.float32), slice(0, gru.WINDOW)
+    real = np.ones(x[part].shape, dtype=bool)
+    tracemalloc.start()
+    trainer._window(x[part], y[part], keep[part], real, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.2e6
+
+
+def test_a_step_is_adams():
+    rng = np.random.default_rng(3)
+    trainer = gru.Trainer(gru.initial(np.ones(gru.SYMBOLS)))
+    at, m, v = gru.flat(trainer.p).astype(np.float64), 0.0, 0.0
+    for step in range(1, 5):
+        slope = rng.normal(0, 3, len(at))
+        trainer.slope[:] = slope
+        trainer._step(trainer.g, 100)
+        slope = slope / 100 * min(1, gru.CLIP / (np.sqrt((slope ** 2).sum()) / 100))
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
+        at -= gru.RATE * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step) * m / (np.sqrt(v) + 1e-8)
+    assert np.allclose(gru.flat(trainer.p), at, atol=1e-5)
+
+
+def test_texts_as_places_and_other_words():
+    texts = [None, "", " \t", "A b\x0bc\u00a0d a\nzz A", "zz zz É q ", "b"]
+    known = lm.Corpus({b"a": 0, b"b": 1}, np.array([3, 2]), 6, 20, 9, 15, 6)
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array(texts, pa.string()), pa.array(range(6))], ["h", "text", "id"])
+    (out,) = lm._coded(type("Known", (), {"value": known}))([batch])
+    assert [np.frombuffer(p, np.int16).tolist() for p in out.column(1).to_pylist()] == [
+        [], [], [], [0, 1, -1, 0, -1, 0], [-1] * 4, [1]]
+    assert [{p["word"]: p["n"] for p in r} for r in out.column(2).to_pylist()] == [
+        {}, {}, {}, {"c\u00a0d": 1, "zz": 1}, {"zz": 2, "É": 1, "q": 1}, {}]
+    assert out.column(3).to_pylist() == list(range(6))
+
+
+def test_texts_are_taken_apart_once_for_training_and_scores(spark, table, tmp_path):
+    rows = [(k, f"w{k} the of the") for k in range(30)]
+    calls = spark.sparkContext.accumulator(0)
+    coded = lm._coded
+
+    def counted(known):
+        def run(batches):
+            def told():
+                for batch in batches:
+                    calls.add(batch.num_rows)
+                    yield batch
+            return coded(known)(told())
+        return run
+    lm._coded = counted
+    try:
+        assert lm.score(table(rows, "doc_id long, text string"), hashed_part(F.col("doc_id"), 5) == 1).count() == 30
+    finally:
+        lm._coded = coded
+    assert calls.value == 30
+
+
 def test_language_model_of_nothing(table):
     schema = "doc_id long, text string"
     assert lm.score(table([], schema, 1), F.lit(False)).collect() == []
