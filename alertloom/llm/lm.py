@@ -17,6 +17,7 @@ one text must fit a task's memory.
 """
 
 import math
+from contextlib import contextmanager
 from itertools import groupby
 from typing import NamedTuple
 
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import gru
@@ -244,6 +245,18 @@ def _scored(params, corpus: Corpus, held: list[tuple]) -> pa.RecordBatch:
         [field.split()[0] for field in PARTS.split(", ")])
 
 
+@contextmanager
+def _small_parts_hashed(spark: SparkSession):
+    """Joins whose parts all turn out small are made by hashing; others are sorted and merged as always."""
+    key, size = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
           rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
@@ -254,7 +267,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
                          F.col(text_col).alias("text"))
     train_docs = marked.where(~F.col("held_out"))
-    counts = cut_lineage(token_counts(train_docs, "text"))
+    counts = stored(token_counts(train_docs, "text"), "lm-counts")
     corpus = corpus_of(counts)
     known = context.broadcast(corpus)
     # Texts are taken apart once; training and scoring read what is stored here.
@@ -268,6 +281,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     found = (rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
              .groupBy("row").agg(F.sum(F.col("n") * F.log10(n + 0.5)).alias("rare_log"),
                                  F.sum(F.when(n > 0, F.col("n")).otherwise(0)).alias("rare_known")))
+    with _small_parts_hashed(docs.sparkSession):
+        found = stored(found, "lm-rare")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     unit = math.log10(corpus.n + 0.5 * (corpus.v + 1))
     return parts.join(found, "row", "left").select(
