@@ -7,18 +7,20 @@ in arrays.
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 
 BUCKETS = 1 << 13  # hashed features
-TOGETHER = 2_000_000  # code points of texts that are decoded together
+TOGETHER = 250_000  # code points of texts that are decoded together; their arrays fit a core's cache
 CELLS = 1 << 20  # tokens, with padding, that go through Viterbi together
 SLACK = np.float32(1e-2)  # above what single precision loses
 ROUNDS = 4  # of ruling out labels before Viterbi
-KNOWN = 300_000  # words that are kept
-HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
+KNOWN = 100_000  # words that are kept
+HEXADECIMAL = "0123456789abcdefABCDEF"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 NEVER = np.float32(-1e4)
@@ -43,8 +45,8 @@ class Field:
 
     def sequences(self, text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
         """(token spans, feature buckets of each token) of the text, one sequence if it has tokens."""
-        tokens = [m.span() for m in TOKEN.finditer(text)]
-        return [(tokens, features([text], [tokens]))] if tokens else []
+        starts, ends, _, feats = features([text])
+        return [(list(zip(starts.tolist(), ends.tolist())), feats)] if len(starts) else []
 
     # -- decoding --------------------------------------------------------------------------------
 
@@ -153,16 +155,16 @@ class Field:
         """(kind, start, end) spans of every text, in code points."""
         out = []
         for some in _together(texts):
-            tokens = [[m.span() for m in TOKEN.finditer(text)] for text in some]
-            feats = features(some, tokens)
-            paths = self.viterbi(np.split(feats, np.cumsum([len(t) for t in tokens])[:-1]))
-            out += [self.spans(t, path) for t, path in zip(tokens, paths)]
+            starts, ends, sizes, feats = features(some)
+            cuts = np.cumsum(sizes)[:-1]
+            paths = self.viterbi(np.split(feats, cuts))
+            out += map(self.spans, np.split(starts, cuts), np.split(ends, cuts), paths)
         return out
 
-    def spans(self, tokens: list[tuple[int, int]], path: np.ndarray) -> list[tuple[str, int, int]]:
+    def spans(self, starts: np.ndarray, ends: np.ndarray, path: np.ndarray) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
-        for at in np.flatnonzero(path):
-            (start, end), label = tokens[at], int(path[at])
+        marked = np.flatnonzero(path)
+        for start, end, label in zip(starts[marked].tolist(), ends[marked].tolist(), path[marked].tolist()):
             if label % 2:
                 out.append((self.kinds[label // 2], start, end))
             else:
@@ -273,77 +275,143 @@ def file_features(text: str) -> str:
 
 class _Words(dict):
     """Rows of what is known of the words met so far: shape, start of the shape, size, lower-cased word,
-    flags, check digit and whether it is hexadecimal; names as their checksums."""
+    flags, check digit and whether it is hexadecimal; names as their checksums. What a word gives to
+    buckets by itself (``alone``), and to buckets that it shares with a word behind it (``begun``), is hashed once."""
 
     def __init__(self):
-        self.rows = np.zeros((1 << 12, 7), dtype=np.uint64)
-        self.rows[0, [0, 3]] = _code("~")  # what stands before and behind a text
-        self[""] = 0
+        self.rows = np.zeros((0, 7), np.uint64)
+        self.alone, self.begun = np.zeros((0, len(_ALONE)), np.int32), np.zeros((0, 4), np.uint64)
+        self.done, self.fresh = 0, array("Q")  # words that have rows, rows of the words met since
+        self._put("", _code("~"), 0, 0, _code("~"), 0, 0, 0)  # what stands before and behind a text
 
     def __missing__(self, w: str) -> int:
-        plain = w.isalpha()
-        if plain and len(w) < 8 and w.islower():  # most words
-            return self._put(w, (*(_LONG if len(w) > 4 else _SHORT), len(w), _code(w)))
-        form = ("x+" if len(w) > 4 else "x") if plain and w.islower() else shape(w)
-        low = w.lower() if plain and len(w) <= 12 else "#"
-        hexed = len(w) >= 8 and HEXADECIMAL.issuperset(w)
+        n, plain = len(w), w.isalpha()
+        hexed = n >= 8 and not w.strip(HEXADECIMAL)
+        size = n if n < 10 else 10 + min(n // 6, 6)
+        if plain and w.islower():  # most words
+            return self._put(w, *(_LONG if n > 4 else _SHORT), size, _code(w) if n <= 12 else _OTHER,
+                             4 * hexed + (size > 9), 0, hexed)
+        form = shape(w)
+        low = _code(w.lower()) if plain and n <= 12 else _OTHER
         mixed = not plain and any(map(str.isdigit, w)) and any(map(str.isalpha, w))
-        size = min(len(w), 9) if len(w) < 10 else 10 + min(len(w) // 6, 6)
-        return self._put(w, (_code(form), _code(form[:2]), size, _code(low), 4 * hexed + 2 * mixed + (size > 9),
-                             {None: 0, False: 1, True: 2}[_luhn(w)], hexed))
-
-    def _put(self, w: str, row: tuple) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at, :len(row)] = row
-        self[w] = at
+        return self._put(w, _code(form), _code(form[:2]), size, low, 4 * hexed + 2 * mixed + (size > 9),
+                         {None: 0, False: 1, True: 2}[_luhn(w)], hexed)
+
+    def _put(self, w: str, *row: int) -> int:
+        self.fresh.extend(row)
+        at = self[w] = len(self)
         return at
 
+    def hashed(self) -> None:
+        """Brings ``rows``, ``alone`` and ``begun`` up to the words met since."""
+        if self.done == len(self):
+            return
+        if len(self.rows) < len(self):
+            for name in ("rows", "alone", "begun"):
+                old = getattr(self, name)
+                new = np.zeros((len(self) + len(self) // 2, old.shape[1]), old.dtype)
+                new[:self.done] = old[:self.done]
+                setattr(self, name, new)
+        new = slice(self.done, len(self))
+        self.rows[new] = np.array(self.fresh, dtype=np.uint64).reshape(-1, 7)
+        del self.fresh[:]
+        form, begin, size, low, flags, check, _ = self.rows[new].T.copy()
+        for at, (kind, *parts) in enumerate(((1, form), (2, low), (3, size, begin), (4, flags), (13, check, form),
+                                             (10, low), (11, low), (15, form))):
+            self.alone[new, at] = _buckets(kind, *parts)
+        for at, (kind, part) in enumerate(((8, form), (9, form), (12, low), (14, form))):
+            self.begun[new, at] = _mixed(np.uint64(kind), part)
+        self.done = len(self)
+
 
 def _code(name: str) -> int:
     return zlib.crc32(name.encode())
 
 
-_LONG, _SHORT = (_code("x+"), _code("x+")), (_code("x"), _code("x"))
+_LONG, _SHORT, _OTHER = (_code("x+"), _code("x+")), (_code("x"), _code("x")), _code("#")
+
+
+def _mixed(acc: np.uint64 | np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Multiplicative hashing of one more part."""
+    acc = ((acc * _ODD) ^ part) * _ODD
+    acc ^= acc >> np.uint64(29)
+    return acc
+
+
+def _bucket(acc: np.ndarray) -> np.ndarray:
+    return ((acc * _ODD) >> np.uint64(32)) & np.uint64(BUCKETS - 1)
 
 
 def _buckets(kind: int, *parts: np.ndarray) -> np.ndarray:
-    """Buckets of one kind of feature, by multiplicative hashing of its parts."""
+    """Buckets of one kind of feature, by hashing of its parts."""
     acc = np.uint64(kind)
     for part in parts:
-        acc = (acc * _ODD) ^ part
-        acc = acc * _ODD
-        acc = acc ^ (acc >> np.uint64(29))
-    return ((acc * _ODD) >> np.uint64(32)) & np.uint64(BUCKETS - 1)
+        acc = _mixed(acc, part)
+    return _bucket(acc)
+
+
+# Columns of the features that a word gives by itself: five of its own, two of the neighbours', one of the next but one.
+_ALONE = (0, 1, 2, 3, 12, 9, 10, 14)
+_known: _Words | None = None
+
+
+@cache
+def _signs() -> np.ndarray:
+    """0 white space, 1 letter or digit, 2 a token by itself, for every code point as ``TOKEN`` has it."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.full(len(every), 2, dtype=np.int8)
+    for kind, runs in ((1, r"[^\W_]+"), (0, r"\s+")):
+        for hit in re.finditer(runs, every):
+            out[hit.start():hit.end()] = kind
+    return out
 
 
-_known = _Words()
+def tokenized(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the text's tokens."""
+    kinds = _signs()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    begins, stops = kinds > 0, kinds > 0
+    both = (kinds[1:] == 1) & (kinds[:-1] == 1)
+    begins[1:] &= ~both
+    stops[:-1] &= ~both
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
-def features(texts: list[str], tokens: list[list[tuple[int, int]]]) -> np.ndarray:
-    """Hashed features of each token of each text: its shape, length and letters, its neighbours', the file's."""
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all tokens within their texts, tokens of each text, and hashed features of each token: its
+    shape, length and letters, its neighbours', the file's."""
     global _known
-    if len(_known) > KNOWN:
+    if _known is None or len(_known) > KNOWN:
         _known = _Words()
-    words: list[str] = ["", ""]
-    for text, own in zip(texts, tokens):
-        words += [text[a:b] for a, b in own]
-        words += ("", "")
-    sizes = np.array([len(own) for own in tokens], dtype=np.int64)
-    every = np.fromiter(map(_known.__getitem__, words), dtype=np.int64, count=len(words))
-    rows = _known.rows[every].T.copy()
-    forms, lows = rows[0], rows[3]
-    spot = np.arange(sizes.sum()) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)  # two edges stand between texts
-    form, begin, size, low, flags, check, hexed = rows[:, spot]
-    spans = np.array([s for own in tokens for s in own], dtype=np.int64).reshape(-1, 2)
-    before, behind = np.zeros(len(spans), dtype=np.uint64), np.full(len(spans), 2, dtype=np.uint64)
-    before[1:] = behind[:-1] = spans[1:, 0] == spans[:-1, 1]
-    stops = np.cumsum(sizes)
-    before[(stops - sizes)[sizes > 0]], behind[stops[sizes > 0] - 1] = 0, 2
-    file = np.repeat(np.array([_code(file_features(text)) for text in texts], dtype=np.uint64), sizes)
-    parts = ((form,), (low,), (size, begin), (flags,), (before, behind, form), (hexed, file),
-             (np.zeros_like(form),), (forms[spot - 1], form), (form, forms[spot + 1]), (lows[spot - 1],), (lows[spot + 1],),
-             (lows[spot - 2], forms[spot - 1]), (check, form), (forms[spot - 2], forms[spot - 1]), (forms[spot + 2],))
+    joined = "\n".join(texts)
+    starts, ends = tokenized(joined)
+    offsets = np.cumsum([0] + [len(text) + 1 for text in texts])
+    stops = np.searchsorted(starts, offsets[1:])
+    sizes = np.diff(stops, prepend=0)
+    spot = np.arange(len(starts)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)  # two edges stand between texts
+    every = np.zeros(len(starts) + 2 * len(texts) + 2, dtype=np.int64)
+    every[spot] = np.fromiter(map(_known.__getitem__, TOKEN.findall(joined)), dtype=np.int64, count=len(starts))
     with np.errstate(over="ignore"):
-        return np.stack([_buckets(k + 1, *p) for k, p in enumerate(parts)], axis=1).astype(np.int32)
+        _known.hashed()
+        alone, begun, form = _known.alone[every], _known.begun[every].T, _known.rows[every, 0]
+        own, hexed = form[spot], _known.rows[every[spot], 6].astype(np.int64)
+        before, behind = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), 2)
+        before[1:] = behind[:-1] = starts[1:] == ends[:-1]
+        before[(stops - sizes)[sizes > 0]], behind[stops[sizes > 0] - 1] = 0, 2
+        around = _mixed(_mixed(np.uint64(5), np.repeat(np.arange(2, dtype=np.uint64), 3)),
+                        np.tile(np.arange(3, dtype=np.uint64), 2))[3 * before + behind]
+        file = np.array([_code(file_features(text)) for text in texts], dtype=np.uint64)
+        file = _buckets(6, np.repeat(np.arange(2, dtype=np.uint64), len(texts)), np.tile(file, 2))
+        out = np.empty((len(starts), 15), dtype=np.int32)
+        out[:, _ALONE[:5]] = alone[spot, :5]
+        for column, at, shift in ((9, 5, -1), (10, 6, 1), (14, 7, 2)):
+            out[:, column] = alone[spot + shift, at]
+        out[:, 4] = _bucket(_mixed(around, own))
+        out[:, 5] = file[hexed * len(texts) + np.repeat(np.arange(len(texts)), sizes)]
+        out[:, 6] = _buckets(7, np.zeros(1, dtype=np.uint64))
+        out[:, 7] = _bucket(_mixed(begun[0, spot - 1], own))
+        out[:, 8] = _bucket(_mixed(begun[1, spot], form[spot + 1]))
+        out[:, 11] = _bucket(_mixed(begun[2, spot - 2], form[spot - 1]))
+        out[:, 13] = _bucket(_mixed(begun[3, spot - 2], form[spot - 1]))
+    starts -= np.repeat(offsets[:-1], sizes)
+    ends -= np.repeat(offsets[:-1], sizes)
+    return starts, ends, sizes, out

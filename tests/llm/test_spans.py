@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.llm import pii, secret, spans
+from alertloom.llm import crf, pii, secret, spans
 from alertloom.llm.crf import Field
 
 TEXTS = [
@@ -229,3 +230,33 @@ def test_a_field_is_fitted_on_an_executor(table, monkeypatch, module, labels):
     monkeypatch.setattr(Field, "fit", never)
     got = module.field(docs, rows=40)
     assert np.allclose(got.emit, own.emit, atol=1e-3) and np.allclose(got.move, own.move, atol=1e-3)
+
+
+def test_tokens_equal_the_pattern_for_every_sign():
+    text = "".join(map(chr, [c for c in range(0x3100) if not 0xD800 <= c < 0xE000]))
+    text += "ab_c  d\x1cé٣² x_y1 _ __ \U0001F600c" + "".join(chr(c) + "a " for c in range(0x10000, 0x110000, 997))
+    starts, ends = crf.tokenized(text)
+    assert list(zip(starts.tolist(), ends.tolist())) == [m.span() for m in crf.TOKEN.finditer(text)]
+
+
+def test_words_met_before_are_not_hashed_again(monkeypatch):
+    texts = ["call me at (212) 555-0147 after five", "", "Mail to a@b.example after five", "é_ß 99"]
+    *_, first = crf.features(texts)
+    hashed = []
+    monkeypatch.setattr(crf, "_buckets", lambda kind, *parts, own=crf._buckets: hashed.append(kind) or own(kind, *parts))
+    *_, again = crf.features(texts)
+    # Left are those of the file and of the constant; a single text gives what it gives among others.
+    assert sorted(hashed) == [6, 7] and np.array_equal(first, again)
+    assert np.array_equal(first, np.concatenate([crf.features([t])[3] for t in texts]))
+
+
+def test_memory_of_tagging_does_not_grow_with_the_batch():
+    field, peaks = Field(pii.KINDS, "@+"), []
+    for texts in (100, 1000):
+        batch = ["write to anna at room 12, or call +1 (886) 555-9674 " * 50] * texts
+        field.tag(batch[:10])
+        tracemalloc.start()
+        field.tag(batch)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
