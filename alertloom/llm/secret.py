@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import spans
-from alertloom.llm.common import free_name
 from alertloom.llm.crf import Field
 
 KINDS = ("assign", "access", "hex")
@@ -83,7 +82,5 @@ def find(docs: DataFrame, model: Field, text: Column | None = None) -> Column:
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every secret in their text replaced by a mark; columns as they came."""
-    name = free_name(docs, "found")
-    found = docs.withColumn(name, find(docs, field(docs, id_col, text_col), F.col(text_col)))
-    return found.withColumn(text_col, spans.redacted(F.col(text_col), F.col(name), "[SECRET]")
-                            ).drop(name)
+    return docs.withColumn(text_col, spans.redacted(
+        docs, field(docs, id_col, text_col), rules, KINDS, F.col(text_col), "[SECRET]"))

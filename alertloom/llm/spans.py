@@ -16,6 +16,7 @@ from alertloom.llm.crf import Field
 Span = tuple[str, int, int]
 # Bounds of what teaches a field: tokens of a sequence, sequences of the sample.
 PIECE, SAMPLE_PIECES = 32, 6000
+TEXTS = 20  # texts whose sequences leave a task together; they are many times as large as their text
 
 
 def inline(sentence: str) -> tuple[str, list[Span]]:
@@ -44,9 +45,9 @@ def _piece_rows(docs: DataFrame, id_col: str, text_col: str, field: Broadcast,
     """Features, rule labels and number of tokens of at most ``SAMPLE_PIECES`` sequences of ``rows`` documents,
     the same in each run: those of least hashed id and text, then those that hold a span and those of least hash."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
             out = [(x.astype(np.int32).tobytes(), y.astype(np.int32).tobytes(), len(y), bool(y.any()))
-                   for text in batch.column(0).to_pylist() for x, y in pieces(field.value, text, rules(text))]
+                   for text in some.column(0).to_pylist() for x, y in pieces(field.value, text, rules(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.bool_()))],
                 names=["x", "y", "n", "marked"])
@@ -118,6 +119,14 @@ def added(tagged: list[Span], base: list[Span]) -> list[Span]:
     return out
 
 
+def _found(field: Field, rules: Callable[[str], list[Span]], kinds: tuple[str, ...],
+           texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
+    """Base spans and all spans of each text."""
+    for text, tagged in zip(texts, field.tag(texts)):
+        base = sorted_spans(rules(text), kinds)
+        yield base, sorted_spans(base + added(tagged, base), kinds)
+
+
 def finder(docs: DataFrame, field: Field, rules: Callable[[str], list[Span]],
            base_kinds: tuple[str, ...], text: Column) -> Column:
     """Struct of counts, base digest and all spans for each whole text; null counts as empty.
@@ -131,11 +140,8 @@ def finder(docs: DataFrame, field: Field, rules: Callable[[str], list[Span]],
                        "starts array<int>", "ends array<int>"])
 
     def find(texts: pd.Series) -> pd.DataFrame:
-        texts = [t or "" for t in texts]
         rows = []
-        for text, tagged in zip(texts, shared.value.tag(texts)):
-            base = sorted_spans(rules(text), kinds)
-            every = sorted_spans(base + added(tagged, base), kinds)
+        for base, every in _found(shared.value, rules, kinds, [t or "" for t in texts]):
             rows.append((*[sum(s[0] == k for s in base) for k in base_kinds],
                          hashlib.sha256(joined(base).encode()).hexdigest(), joined(every),
                          [s[1] for s in every], [s[2] for s in every]))
@@ -145,24 +151,30 @@ def finder(docs: DataFrame, field: Field, rules: Callable[[str], list[Span]],
     return F.pandas_udf(find, schema).asNondeterministic()(text)
 
 
-def redacted(text: Column, found: Column, mark: str) -> Column:
-    """The text with every found span replaced; overlapping spans are replaced together."""
-    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for body, begin, end in zip(texts, starts, ends):
-            if body is None or not len(begin):
-                out.append(body)
-                continue
-            parts, at = [], 0
-            for a, b in zip(begin, end):
-                if a >= at:
-                    parts += [body[at:a], mark]
-                elif b <= at:
-                    continue
-                at = max(at, b)
-            out.append("".join(parts) + body[at:])
-        return pd.Series(out)
-
-    cut.__annotations__ = {"texts": pd.Series, "starts": pd.Series, "ends": pd.Series,
-                           "return": pd.Series}
-    return F.pandas_udf(cut, "string")(text, found["starts"], found["ends"])
+def redacted(docs: DataFrame, field: Field, rules: Callable[[str], list[Span]],
+             base_kinds: tuple[str, ...], text: Column, mark: str) -> Column:
+    """The text with every span that ``finder`` finds replaced; overlapping spans are replaced together.
+
+    Spans are found and cut out by one function, so that a task needs one Python worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    kinds = base_kinds + tuple(f"likely_{k}" for k in field.kinds)
+
+    def cut(texts: pd.Series) -> pd.Series:
+        found = _found(shared.value, rules, kinds, [t or "" for t in texts])
+        return pd.Series([t and without(t, every, mark) for t, (_, every) in zip(texts, found)], dtype=object)
+
+    cut.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(cut, "string").asNondeterministic()(text)
+
+
+def without(text: str, spans: list[Span], mark: str) -> str:
+    """The text with a mark in place of its spans, which are sorted by their start."""
+    parts, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        elif end <= at:
+            continue
+        at = max(at, end)
+    return "".join(parts) + text[at:]

@@ -260,3 +260,24 @@ def test_memory_of_tagging_does_not_grow_with_the_batch():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 2 * peaks[0]
+
+
+def test_secrets_are_cut_by_one_function(table, capsys):
+    docs = table([(1, "token = abcdefghijklmnop")], "doc_id long, text string")
+    secret.without_secrets(docs).explain("simple")
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_overlapping_spans_are_cut_together():
+    found = [("a", 1, 4), ("b", 2, 3), ("c", 3, 6), ("a", 8, 9)]
+    assert spans.without("0123456789", found, "#") == "0#67#9"
+    assert spans.without("abc", [], "#") == "abc"
+
+
+def test_sampled_sequences_leave_a_task_in_parts(table, monkeypatch):
+    docs = table([(k, f"mail a{k}@b.org") for k in range(90)], "doc_id long, text string")
+    field = Field(pii.KINDS, "@+")
+    whole = spans.sampled_pieces(docs, "doc_id", "text", field, pii.rules, 80)
+    monkeypatch.setattr(spans, "TEXTS", 7)
+    parts = spans.sampled_pieces(docs, "doc_id", "text", field, pii.rules, 80)
+    assert len(whole) == 80 and [x.tolist() for x, _ in whole] == [x.tolist() for x, _ in parts]
