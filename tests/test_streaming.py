@@ -39,6 +39,24 @@ def test_stream_equals_batch_and_quarantines(spark, sf, tmp_path):
     assert stored().count() == 1000
 
 
+def test_a_batch_keeps_no_rows_in_memory(spark, tmp_path):
+    source, out, held = tmp_path / "in", str(tmp_path / "out"), []
+    source.mkdir()
+    lines(source, "1.json", *[{"id": str(n % 40), "timestamp": f"2026-01-01T00:00:{n:02d}Z"} for n in range(50)])
+    known = {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+
+    def explain(rows):
+        assert rows.count() == 40
+        held.extend(r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo() if r.id() not in known)
+        return rows.select("doc_id")
+
+    ingest.score_stream(ingest.alert_stream(spark, str(source)), explain, out, str(tmp_path / "checkpoint"),
+                        min_level=0).awaitTermination()
+    counters = ingest.run_counters(spark, out).first()
+    assert (counters["total"], counters["written"], counters["repeated"]) == (50, 40, 10)
+    assert not held and not list((tmp_path / "out" / "work").glob("*"))
+
+
 def drain(spark, df, name, mode="append"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(
         availableNow=True).start()
